@@ -1 +1,28 @@
 """DuckDB SQL for the queries that SQL can express, by the name of the query."""
+
+op2_substring_dedup = r"""
+WITH w AS (
+    SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word,
+           generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i
+    FROM documents
+),
+v AS (
+    SELECT doc_id, i, string_agg(word, ' ') OVER part AS passage, count(*) OVER part AS n
+    FROM w WINDOW part AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+r AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 AS again
+    FROM v WHERE n = 20
+),
+c AS (
+    SELECT w.doc_id, w.i, w.word, coalesce(max(r.again::INT) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS cut
+    FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i
+),
+t AS (
+    SELECT doc_id, count(*) AS n_words, sum(cut)::BIGINT AS n_removed,
+           coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE cut = 0), '') AS kept
+    FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
