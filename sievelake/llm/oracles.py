@@ -60,3 +60,27 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '|', '\p')) + length(replace(replace(text, '\', '\s'), '<', '\l')) + 13)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id
 """
+
+op6_benchmark_decontamination = r"""
+WITH t AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+),
+w AS (
+    SELECT kind, id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), ' +'), lambda x: x <> '') AS words FROM t
+),
+items AS (
+    SELECT id AS item_id, least(5, len(words)) AS n, words FROM w WHERE kind = 'i' AND len(words) > 0
+),
+s AS (
+    SELECT DISTINCT item_id, n, array_to_string(words[i:i + n - 1], ' ') AS shingle
+    FROM (SELECT item_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM items)
+),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id),
+d AS (
+    SELECT DISTINCT id AS doc_id, n, array_to_string(words[i:i + n - 1], ' ') AS shingle
+    FROM (SELECT id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM items) WHERE kind = 'd' AND len(words) >= n)
+)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM d JOIN s USING (n, shingle) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+"""
