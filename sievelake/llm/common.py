@@ -92,9 +92,9 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of the text, in order; long texts go in segments that end between words."""
-    out, at, n = [], 0, len(text)
+def located_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offset and 64-bit hash of every word of the text, in order; long texts go in segments that end between words."""
+    places, out, at, n = [], [], 0, len(text)
     while at < n:
         to = min(n, at + _SEGMENT)
         while to < n and not _SPACE[text[to]]:
@@ -102,9 +102,17 @@ def word_hashes(text: bytes) -> np.ndarray:
         data = np.frombuffer(text, dtype=np.uint8, count=to - at, offset=at)
         start, end = word_spans(data)
         if len(start):
+            places.append(start + at)
             out.append(spans_hash(data.astype(_U) + _U(1), start, end))
         at = to
-    return np.concatenate(out) if out else np.zeros(0, dtype=_U)
+    if not out:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
+    return np.concatenate(places), np.concatenate(out)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of the text, in order."""
+    return located_words(text)[1]
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
