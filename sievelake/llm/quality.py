@@ -189,6 +189,20 @@ def train_fold(modulus: int, held: int) -> tuple[Column, Column]:
     return ~out, F.coalesce(out, F.lit(False))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int = MAX_TRAIN) -> Model:
+    """The model of a bounded sample of the rows that may be learned from."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("doc_id"), batch.column("y")], names=["found", "doc_id", "y"])
+
+    rows = sample(docs, labels, label, learn, most).select("doc_id", "text", "y").mapInArrow(extract, "found binary, doc_id long, y int").toArrow()
+    found = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in rows.column("found")]
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    return fit([found[i] for i in order], rows.column("y").to_numpy()[order])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
     """Scores every whole text of docs (doc_id, text); labels has doc_id and the label.
 
@@ -202,16 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     """
     prepare(docs.sparkSession)
     learn, out = train_fold(modulus, held)
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("doc_id"), batch.column("y")], names=["found", "doc_id", "y"])
-
-    rows = sample(docs, labels, label, learn, most).select("doc_id", "text", "y").mapInArrow(extract, "found binary, doc_id long, y int").toArrow()
-    found = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in rows.column("found")]
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    model = fit([found[i] for i in order], rows.column("y").to_numpy()[order])
+    model = train(docs, labels, label, learn, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,3 +225,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_scores predicts 1 for."""
+    prepare(docs.sparkSession)
+    model = train(docs, labels, label, train_fold(modulus, held)[0], most)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(features(t.as_py())) >= threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

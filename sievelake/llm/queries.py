@@ -27,6 +27,18 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .common import shared_dir
+    from .shards import materialise_order
+
+    out = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return materialise_order(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
