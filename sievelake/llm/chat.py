@@ -50,10 +50,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     within = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "text")
     rewound = F.max(F.when(F.col("kind") == 3, F.col("seq"))).over(later)
     valid = known.withColumn("rewound", rewound).where("rewound IS NULL OR seq >= rewound")
-    version = valid.withColumn("version", F.count_if(F.col("kind") <= 3).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    version = valid.withColumns({"version": F.count_if(F.col("kind") <= 3).over(so_far), "role": F.last("role", ignorenulls=True).over(so_far)})
     last = version.withColumn("newest", F.max("version").over(Window.partitionBy("conv_id", "turn"))).where("version = newest")
     parts = F.sort_array(F.collect_list(F.struct("seq", "kind", "text")))
-    role = F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "kind")))
+    role = F.max_by("role", F.struct("seq", "kind", "text"))
     return last.groupBy("conv_id", "turn").agg(role.alias("role"), F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 

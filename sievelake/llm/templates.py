@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, located_words, materialise, mix, partitions, prepare
+from .common import grams, located_words, materialise, mix, partitions, prepare, unused
 
 #: Leading tokens of the tree, and tokens that a line needs at least.
 DEPTH, TOKENS = 3, 4
@@ -177,10 +177,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, share: float = 0.5
         dropped = np.sort(found.toArrow().column("line").to_numpy())
         return docs.mapInArrow(lambda b: _cut(b, at, dropped, depth, tokens), _with_counts(docs))
     # too many lines to send: each row gets the few of them that it holds, by a join on the lines
-    keyed = docs.withColumn("row", F.xxhash64("text"))
-    own = keyed.select("row", "text").mapInArrow(lambda b: _line_rows(b, depth, tokens), "row long, line long")
-    lists = own.distinct().join(found, "line").groupBy("row").agg(F.collect_list("line").alias("dropped"))
-    joined = keyed.join(lists, "row", "left").select(*docs.columns, "dropped")
+    row, gone = unused(docs, "row"), unused(docs, "dropped")
+    keyed = docs.withColumn(row, F.xxhash64("text"))
+    own = keyed.select(F.col(row).alias("row"), "text").mapInArrow(lambda b: _line_rows(b, depth, tokens), "row long, line long")
+    lists = own.distinct().join(found, "line").groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
+    joined = keyed.join(lists, row, "left").select(*docs.columns, gone)
     return joined.mapInArrow(lambda b: _cut(b, at, None, depth, tokens), _with_counts(docs))
 
 
