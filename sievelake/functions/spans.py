@@ -2,8 +2,10 @@
 
 regexp_extract_all gives the matches and split what lies between; their lengths,
 summed in order, give the ends. The sum is a window over the exploded matches, so
-the cost is linear in them, and texts are never shuffled. A group-1 finding ends
-where its match ends, so its start follows from its length.
+the cost is linear in them, and texts are never shuffled. Matches are dealt out by
+doc_id once; the windows here and what follows by document need no further
+exchange. A group-1 finding ends where its match ends, so its start follows from
+its length.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def find_spans(docs: DataFrame, patterns: list[Pattern], first: int = 0, keep: t
     if not keys:
         raise ValueError("no pattern to look for")
     hits = docs.select("doc_id", *keep, F.explode(F.array_compact(F.array(*map(matches, range(len(keys)))))).alias("h"))
-    each = hits.select("doc_id", *keep, "h.k", F.posexplode(F.arrays_zip("h.m", "h.g", "h.s")).alias("i", "x")).where("x.m IS NOT NULL")
+    each = hits.select("doc_id", *keep, "h.k", F.posexplode(F.arrays_zip("h.m", "h.g", "h.s")).alias("i", "x")).where("x.m IS NOT NULL").repartition("doc_id")
     order = Window.partitionBy("doc_id", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ended = each.withColumn("end", F.sum(F.length("x.s") + F.length("x.m")).over(order).cast("int")).withColumn("word", F.col("x.g"))
     labels = F.array(*(F.array(*(F.struct(F.lit(first + k).alias("rank"), F.lit(patterns[k].category).alias("entity_group"), F.lit(patterns[k].score).alias("score"), F.lit(patterns[k].method).alias("method")) for k in at[key])) for key in keys))
