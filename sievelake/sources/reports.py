@@ -15,6 +15,14 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
 
 
+def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """ord, category and prose of a text of numbered descriptions: a line "3. NAME", then lines about it."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(\d+\.\s+\w+\s*$(?:\R(?!\d+\.\s+\w+\s*$).*)*)"), F.lit(1))).alias("part"))
+    head = F.regexp_extract("part", r"^(\d+)\.\s+(\w+)", 1).cast("int")
+    prose = F.array_join(F.filter(F.transform(F.split("part", "\n"), lambda x: F.regexp_replace(F.trim(x), r"^- ", "")), lambda x: (x != "") & ~x.rlike(r"^\d+\.\s")), "\n")
+    return whole.select(head.alias("ord"), F.regexp_extract("part", r"^(\d+)\.\s+(\w+)", 2).alias("category"), prose.alias("prose"))
+
+
 def read_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Quality reports in JSON, by file; broken files give nulls, missing ones no rows."""
     reader = spark.read.schema(REPORT).option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreMissingFiles", True)

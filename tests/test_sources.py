@@ -1,7 +1,7 @@
 import json
 
 from sievelake.operators.evaluate import averages
-from sievelake.sources.reports import read_reports, read_texts, report_classes, to_result_json
+from sievelake.sources.reports import read_descriptions, read_reports, read_texts, report_classes, to_result_json
 from sievelake.streaming.live import detect_stream, windowed_counts
 
 
@@ -25,6 +25,12 @@ def test_texts_and_json(spark, tmp_path):
     assert json.loads(to_result_json(texts.select("text")).first().value)["text"] in ("one", "two")
 
 
+def test_descriptions(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("Title\n\n1. NAME\n   - First name.\n   - Examples: 3. or 4\n\n2. CITY\n   - A city.\n")
+    got = sorted(map(tuple, read_descriptions(spark, str(tmp_path / "d.txt")).collect()))
+    assert got == [(1, "NAME", "First name.\nExamples: 3. or 4"), (2, "CITY", "A city.")]
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(1, "mail a@b.cc", 0), (2, "none", 0)], "doc_id long, text string, n int").selectExpr("doc_id", "text", "timestamp '2024-01-01 00:00:00' AS ts").write.parquet(str(src))
