@@ -7,7 +7,9 @@ differ in about four bits each. Each of their four halves goes to the anchors of
 the covering code (see simhash) within its covering radius plus one; documents
 whose halves differ in at most two bits meet there for certain. A document is
 linked to the nearest earlier one at each anchor, and a link counts only if the
-sets of word shingles, compared whole, have the similarity asked for.
+sets of word shingles, compared whole, have the similarity asked for. Only the
+shingles of documents with a link are shuffled, not texts: a bitmap of fixed size
+tells the scan which documents these are.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .simhash import anchors
 HOLD = 1 << 13
 #: Bits of 128 in which linked fingerprints may differ: twice the number expected at the similarity of 0.8.
 NEAR = 18
+#: Bits of the bitmap that tells which documents to take shingles of; where it errs, it takes too many.
+FILTER_BITS = 24
 
 
 def word_simhashes(text: str | None) -> tuple[int, int]:
@@ -45,9 +49,18 @@ def word_simhashes(text: str | None) -> tuple[int, int]:
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of the word shingles of a text; of the whole, if it has fewer words."""
+    """The distinct hashes (32 bits) of the word shingles of a text; of the whole, if it has fewer words."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
-    return np.unique(grams(words, min(shingle, max(1, len(words)))))
+    return np.unique((grams(words, min(shingle, max(1, len(words)))) >> np.uint64(32)).astype(np.uint32))
+
+
+def membership(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the hashes of doc_id, of a fixed size: it says no only to ids that aren't there."""
+    slots = ids.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("slot"))
+    words = slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out
 
 
 def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,19 +157,23 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")], pa.binary())], names=["node", "shingles"])
+            slot = batch.column("slot").to_numpy()
+            maybe = np.flatnonzero((wanted[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            some = batch.take(pa.array(maybe))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in some.column("text")], pa.binary())], names=["node", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint32) for v in (x, y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * max(1, len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(rows.join(ends, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))))
+    slotted = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("slot"))
+    sets = materialise(slotted.mapInArrow(shingles, "node long, shingles binary"), "shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     sure = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
     copies = of.join(points, ["same", "x", "y"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
