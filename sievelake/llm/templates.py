@@ -12,7 +12,8 @@ to document dedup: templates need different surroundings in most documents.
 
 Passes over the documents: count surroundings by leaf; parse the lines of leaves
 that can hold a recurring template; drop lines. Each batch sums its own rows
-before they are shuffled, so a very common line is a row a batch and surroundings.
+before they are shuffled, and only the distinct lines of a leaf meet in one task,
+so a very common line is one row there.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def recurring_lines(docs: DataFrame, min_docs: int, share: float, similar: float
     lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, few, True), "leaf long, line long, masked string, around long, docs long")
     if few is None:
         lines = lines.join(leaves, "leaf", "left_semi")
-    summed = lines.groupBy("leaf", "line", "masked", "around").agg(F.sum("docs").alias("docs"))
+    summed = materialise(lines.groupBy("leaf", "line", "masked", "around").agg(F.sum("docs").alias("docs")), "lines")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, now = None, Leaf(similar)
@@ -147,12 +148,14 @@ def recurring_lines(docs: DataFrame, min_docs: int, share: float, similar: float
                 if at != leaf:
                     leaf, now = at, Leaf(similar)
                 out.append(now.template(masked))
-            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("line"), pa.array(out, pa.int64()), batch.column("around"), batch.column("docs")], names=["leaf", "line", "template", "around", "docs"])
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("line"), pa.array(out, pa.int64())], names=["leaf", "line", "template"])
 
-    grown = materialise(summed.repartition(n, "leaf").sortWithinPartitions("leaf", "masked").mapInArrow(grow, "leaf long, line long, template long, around long, docs long"), "templates")
-    held = grown.groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs")).groupBy("leaf", "template").agg(F.count("*").alias("places"), F.sum("docs").alias("n_docs"))
+    distinct = summed.select("leaf", "line", "masked").distinct().repartition(n, "leaf").sortWithinPartitions("leaf", "masked")
+    grown = materialise(distinct.mapInArrow(grow, "leaf long, line long, template long"), "templates")
+    counted = summed.select("leaf", "line", "around", "docs").join(grown, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs"))
+    held = counted.groupBy("leaf", "template").agg(F.count("*").alias("places"), F.sum("docs").alias("n_docs"))
     recurring = held.where((F.col("places") >= min_docs) & (F.col("places") >= share * F.col("n_docs"))).select("leaf", "template", "n_docs")
-    return grown.select("leaf", "line", "template").distinct().join(recurring, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
+    return grown.join(recurring, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, share: float = 0.5, similar: float = 0.7, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
