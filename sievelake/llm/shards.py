@@ -76,6 +76,10 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
     doc_id, piece, n_ids (without padding), slot, shard, byte_offset and crc32 (of
     its record), once the shards are written: writing is part of running the result.
 
+    docs has to give the same rows in the same splits twice, as a table that is read
+    does; write it first if it comes from a shuffle (else the job may fail, but never
+    writes wrong shards).
+
     Null and empty texts are one sequence of the end id. Repeated rows are sequences
     of their own; doc_id may be anything. Other columns aren't read. An empty table
     gives no rows and no shards.
