@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import materialise, partitions, prepare
 from .components import components
@@ -36,8 +37,8 @@ SAMPLE = 8192
 SUBLIST = 2048
 #: Subspaces, and codewords of each.
 PARTS, WORDS = 8, 64
-#: Vectors a centroid, and most centroids.
-SHARE, MOST_LISTS = 256, 1024
+#: Vectors of a label that there is a list for, and most lists. Short lists would cost more: in many dimensions a vector has to probe a share of the lists, however many there are.
+SHARE, MOST_LISTS = 1024, 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -92,18 +93,18 @@ def _pad(book: np.ndarray) -> np.ndarray:
     return np.concatenate([book, np.repeat(book[-1:], WORDS - len(book), axis=0)])
 
 
-def _floats(column: pa.Array) -> list[np.ndarray | None]:
-    """Vectors in double precision; None for those that link with nothing."""
+def _floats(column: pa.Array, kind: str) -> list[np.ndarray | None]:
+    """Vectors; None for those that link with nothing. Zeros have no sign."""
     out: list[np.ndarray | None] = []
     for v in column:
-        x = None if not v.is_valid or v.values.null_count or not len(v.values) else np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+        x = None if not v.is_valid or v.values.null_count or not len(v.values) else np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=kind) + np.dtype(kind).type(0)
         out.append(x if x is not None and np.isfinite(x).all() and np.any(x) else None)
     return out
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    """Rows of length 1; scaled first, so that no square overflows or vanishes."""
-    x = np.stack([np.frombuffer(b, dtype=np.float64) for b in raw])
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.stack([np.frombuffer(b, dtype=kind) for b in raw]).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -123,11 +124,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
     """
     spark = vectors.sparkSession
     prepare(spark)
+    kind = "<f8" if isinstance(vectors.schema["embedding"].dataType.elementType, DoubleType) else "<f4"
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [None if x is None else x.tobytes() for x in _floats(batch.column("embedding"))]
+            raw = [None if x is None else x.tobytes() for x in _floats(batch.column("embedding"), kind)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), batch.column("label").cast(pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 
     packed = materialise(vectors.select("vec_id", "embedding", "label").mapInArrow(pack, "vec_id long, label long, raw binary"), "vectors")
@@ -138,8 +140,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
     index = None
     if dims is not None:
         few = entries.where(F.octet_length("raw") == dims["bytes"]).orderBy(F.xxhash64("raw"), "node").limit(sample).select("raw").toArrow()
-        index = Index.fit(_unit([x.as_py() for x in few.column("raw")]), distinct)
-    width = 0 if dims is None else dims["bytes"] // 8
+        index = Index.fit(_unit([x.as_py() for x in few.column("raw")], kind), distinct // max(1, entries.select("label").distinct().count()))
+    size = np.dtype(kind).itemsize
+    width = 0 if dims is None else dims["bytes"] // size
     n = partitions(spark)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +152,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             label, node, count = (batch.column(k).to_numpy() for k in ("label", "node", "n"))
-            size = np.array([len(r) // 8 for r in raw])
-            whole = np.flatnonzero(size == width)
-            odd = np.flatnonzero(size != width)
-            row, to, entry = [odd], [-size[odd]], [np.ones(len(odd), dtype=bool)]
+            dims = np.array([len(r) // size for r in raw])
+            whole, odd = np.flatnonzero(dims == width), np.flatnonzero(dims != width)
+            row, to, entry = [odd], [-dims[odd]], [np.ones(len(odd), dtype=bool)]
             for at in range(0, len(whole), 1024):
                 some = whole[at : at + 1024]
-                x = _unit([raw[i] for i in some])
+                x = _unit([raw[i] for i in some], kind)
                 d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
                 home = d.argmin(axis=1)
                 reach = d - d[np.arange(len(x)), home][:, None] <= 2 * radius * gap[home] + 1e-9
@@ -192,7 +194,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
                     continue
                 for at in range(s, e, 256):
                     to = min(e, at + 256)
-                    some = _Entries(index, width, int(cell[s]), node[at:to], count[at:to], _unit(raw.slice(at, to - at).to_pylist()))
+                    some = _Entries(index, width, int(cell[s]), node[at:to], count[at:to], _unit(raw.slice(at, to - at).to_pylist(), kind))
                     if held is not None:
                         held.meet(some, radius, threshold, links, a, b)
                     if entry[s]:
