@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -96,7 +97,8 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
         return ids.astype(kind)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(-(-len(encode(t.as_py())) // length) for b in batches for t in b.column("text"))
+        encoder = bpe(vocab)
+        n = sum(-(-(encoder.count(t.as_py() or "") + 1) // length) for b in batches for t in b.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["split", "n"])
 
     counts = {r.split: r.n for r in texts.mapInArrow(count, "split long, n long").collect()}  # a row an input split
@@ -111,7 +113,7 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
         f.write(json.dumps({"sequences": total, "length": length, "type": width, "stride": length * kind.itemsize, "per_shard": per_shard, "shards": shards, "key": key}).encode())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = TaskContext.get().partitionId()
+        split, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3).compress
         at, n = first.get(split, (0, 0))
         stop = at + n
         for batch in batches:
@@ -123,7 +125,7 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
             slot = permute(np.arange(at, at + len(owner)), total, key)
             at += len(owner)
             held = np.minimum(sizes[owner] - piece * length, length)
-            ids = [zlib.compress(every[o][p * length : (p + 1) * length].tobytes(), 1) for o, p in zip(owner.tolist(), piece.tolist())]
+            ids = [squeeze(every[o][p * length : (p + 1) * length].tobytes()) for o, p in zip(owner.tolist(), piece.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(held.astype(np.int32)), pa.array(slot), pa.array(slot // per_shard), pa.array(ids, pa.binary())],
                 names=["doc_id", "piece", "n_ids", "slot", "shard", "ids"],
@@ -133,6 +135,7 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, name = fs.FileSystem.from_uri(out)
+        expand = zstandard.ZstdDecompressor().decompress
         shard, stream, temporary, due = -1, None, "", 0
 
         def close() -> None:
@@ -151,7 +154,7 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
                     stream = place.open_output_stream(temporary)
                 if slot != due:
                     raise RuntimeError(f"slot {due} is missing")
-                record = _cut(np.frombuffer(zlib.decompress(ids), dtype=kind), length, pad).tobytes()
+                record = _cut(np.frombuffer(expand(ids), dtype=kind), length, pad).tobytes()
                 stream.write(record)
                 crcs.append(zlib.crc32(record))
                 due += 1

@@ -9,6 +9,7 @@ as fast; tests hold both against each other.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -45,16 +46,23 @@ class Bpe:
 
         self.core = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of the whole text, as 32-bit unsigned integers."""
-        parts, at, n = [], 0, len(text)
+    def _parts(self, text: str) -> Iterator[list[int]]:
+        at, n = 0, len(text)
         while at < n:
             to = n if n - at <= PART else at + PART
             while to < n and not (text[to] == " " and not text[to - 1].isspace()):
                 to += 1
-            parts.append(np.array(self.core.encode_ordinary(text[at:to]), dtype="<u4"))
+            yield self.core.encode_ordinary(text if to - at == n else text[at:to])
             at = to
-        return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of the whole text, as 32-bit unsigned integers."""
+        parts = [np.array(x, dtype="<u4") for x in self._parts(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, dtype="<u4")])
+
+    def count(self, text: str) -> int:
+        """How many ids the whole text has."""
+        return sum(map(len, self._parts(text)))
 
 
 _bpe: dict[str, Bpe] = {}
