@@ -1,15 +1,19 @@
-"""Near copies for a corpus pipeline: SimHash anchors propose, word shingles decide.
-
-Word edits spoil five shingles each, so at a similarity of 0.8 of the shingles
-a SimHash of them differs in ten bits of 64 and can't be searched for. The edits
-touch only one word in forty, though: two 64-bit SimHashes of the distinct words
-differ in about four bits each. Each of their four halves goes to the anchors of
-the covering code (see simhash) within its covering radius plus one; documents
-whose halves differ in at most two bits meet there for certain. A document is
-linked to the nearest earlier one at each anchor, and a link counts only if the
-sets of word shingles, compared whole, have the similarity asked for. Only the
-shingles of documents with a link are shuffled, not texts: a bitmap of fixed size
-tells the scan which documents these are.
+"""Near copies for a corpus pipeline: min-hashes of word shingles propose, the shingles decide.
+
+The MINS min-hashes of a text's distinct shingles agree with those of another text
+with the probability of their Jaccard similarity, whatever the edits are: words
+changed here and there, an end cut off, a block added or moved. Bands of BAND
+min-hashes are the anchors where texts meet: at a similarity of 0.8 two texts miss
+each other at all of them once in twenty million times. One bit of each min-hash
+makes a sketch of 128 bits, whose distance at an anchor tells candidates from chance.
+
+Candidates come in two rounds. In the first a document is linked to the nearest
+earlier one at each anchor, and links count if the sets of word shingles, compared
+whole, have the similarity asked for; that joins large groups by few links. In the
+second every pair of near sketches at an anchor that the first left in different
+components is compared, so neither a nearer candidate that failed nor the size of
+an anchor hides one. Only the shingles of documents with a link are shuffled, not
+texts: a bitmap of fixed size tells the scan which documents these are.
 """
 
 from __future__ import annotations
@@ -23,29 +27,36 @@ from pyspark.sql import functions as F
 
 from .common import grams, materialise, mix, partitions, prepare, word_hashes
 from .components import components
-from .simhash import anchors
 
-#: Points of an anchor that later ones are compared with; what comes beyond is compared with these and with its own block of as many.
+#: Points of an anchor that later ones are compared with in the first round; what comes beyond is compared with these and with its own block of as many.
 HOLD = 1 << 13
-#: Bits of 128 in which linked fingerprints may differ: twice the number expected at the similarity of 0.8.
-NEAR = 18
+#: Min-hashes of a text, and of a band.
+MINS, BAND = 128, 4
+#: Bits of 128 in which sketches of candidates may differ: 12.8 are expected at the similarity of 0.8, with a deviation of 3.4.
+NEAR = 32
 #: Bits of the bitmap that tells which documents to take shingles of; where it errs, it takes too many.
 FILTER_BITS = 24
+_FACTORS, _TERMS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(MINS + 1, 2 * MINS + 1, dtype=np.uint64))
 
 
-def word_simhashes(text: str | None) -> tuple[int, int]:
-    """Two SimHashes of the distinct words of a text (small letters A to Z for capital ones), as unsigned numbers."""
-    words = np.unique(word_hashes((text or "").encode("utf-8", "surrogatepass").lower()))
-    if not len(words):
-        return 0, 0
-    out = []
-    for k in (1, 2):
-        bits = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(words), 1 << 16):
-            some = mix(words[at : at + (1 << 16)] + np.uint64(k))
-            bits += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(bits * 2 > len(words), bitorder="little").view("<u8")[0]))
-    return out[0], out[1]
+def sketch_of(shingles: np.ndarray) -> tuple[int, int, bytes]:
+    """Two words of a sketch and the anchors (64 bits each) of a set of shingles; no anchors if it is empty."""
+    if not len(shingles):
+        return 0, 0, b""
+    least = np.full(MINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1 << 12):
+        some = mix(shingles[at : at + (1 << 12)].astype(np.uint64))
+        np.minimum(least, (some[:, None] * _FACTORS + _TERMS).min(axis=0), out=least)
+    x, y = np.packbits((mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return x, y, mix(grams_by_row(least.reshape(-1, BAND)) + np.arange(MINS // BAND, dtype=np.uint64)).tobytes()
+
+
+def grams_by_row(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    acc = np.zeros(len(rows), dtype=np.uint64)
+    for column in rows.T:
+        acc = mix(acc + column)
+    return acc
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -80,12 +91,29 @@ def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(me), np.concatenate(other)) if me else (none, none)
 
 
-def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _across(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all pairs of near points (node, sketch, component) in different components, the larger node first, in blocks."""
+    points = points[np.argsort(points[:, 3], kind="stable")]
+    a, b = points[:, 1].view(np.uint64), points[:, 2].view(np.uint64)
+    start = np.searchsorted(points[:, 3], points[:, 3])
+    at = int(np.searchsorted(start, 1))
+    while at < len(points):
+        to = min(len(points), at + max(1, (1 << 21) // int(start[at])))
+        end = int(start[to - 1])
+        d = np.bitwise_count(a[at:to, None] ^ a[None, :end]).astype(np.int16) + np.bitwise_count(b[at:to, None] ^ b[None, :end])
+        d[np.arange(end)[None, :] >= start[at:to, None]] = 999
+        me, other = np.nonzero(d <= NEAR)
+        p, q = points[at + me, 0], points[other, 0]
+        yield np.maximum(p, q), np.minimum(p, q)
+        at = to
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hold: int = HOLD) -> DataFrame:
     """doc_id and component_id (the smallest doc_id of its group) of every distinct doc_id of docs (doc_id, text).
 
     Equal texts are linked, and texts whose shingle sets have a Jaccard similarity
-    of at least ``similarity`` as far as the search finds them, directly or by way
-    of others. Null texts count as empty ones, which are all equal. Rows that share
+    of at least ``similarity`` (0.8 or more, for which the search is made), directly
+    or by way of others. Null texts count as empty ones, which are all equal. Rows that share
     a doc_id are one document. A null doc_id gives no row. Other columns aren't read.
     """
     spark = docs.sparkSession
@@ -94,31 +122,27 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([word_simhashes(t.as_py()) for t in batch.column("text")], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["doc_id", "same", "x", "y"])
+            found = [sketch_of(shingle_set(t.as_py(), shingle)) for t in batch.column("text")]
+            x, y, at = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(at, pa.binary())], names=["doc_id", "same", "x", "y", "anchors"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("same", F.xxhash64("text"))
-    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, x long, y long"), "sketches")
-    points = materialise(of.groupBy("same", "x", "y").agg(F.min("doc_id").alias("node")), "points")
+    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, x long, y long, anchors binary"), "sketches")
+    points = materialise(of.groupBy("same", "x", "y").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors")), "points")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "x", "y", "component"]
         for batch in batches:
-            whole = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y")], axis=1)
+            whole = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
+            lists = batch.column("anchors").to_pylist()
             for at in range(0, len(whole), 2048):
-                some = whole[at : at + 2048]
-                keys, who = [], []
-                for side, (column, shift) in enumerate(((1, 0), (1, 32), (2, 0), (2, 32))):
-                    words = np.sort(anchors(some[:, column].view(np.uint64) >> np.uint64(shift), 1), axis=1)
-                    new = np.ones(words.shape, dtype=bool)
-                    new[:, 1:] = words[:, 1:] != words[:, :-1]
-                    keys.append(words[new] | np.uint64(side << 32))
-                    who.append(np.repeat(np.arange(len(some)), new.sum(axis=1)))
-                rows = some[np.concatenate(who)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(rows[:, c]) for c in range(3))], names=["anchor", "node", "x", "y"])
+                some = lists[at : at + 2048]
+                keys, rows = np.frombuffer(b"".join(some), dtype=np.int64), np.repeat(whole[at : at + 2048], [len(x) // 8 for x in some], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, c]) for c in range(4))], names=["anchor", *names])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor and node; an anchor's first points stay, later ones pass in blocks."""
+        """Rows come sorted by anchor and node; an anchor's first points stay, later ones pass in blocks. Each is linked to the nearest."""
         anchor, kept, block = None, np.zeros((0, 3), dtype=np.int64), []
 
         def settle() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,7 +168,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
                     links += settle()
                     anchor, kept, block = key[s], rows[:0], []
                 block.append(rows[s:e])
-                if sum(map(len, block)) >= HOLD:
+                if sum(map(len, block)) >= hold:
                     links += settle()
                     kept, block = (np.concatenate(block) if not len(kept) else kept), []
             a, b = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, dtype=np.int64),) * 2
@@ -152,8 +176,29 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         for a, b in settle():
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    met = points.mapInArrow(replicate, "anchor long, node long, x long, y long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
-    links = materialise(met.mapInArrow(propose, "a long, b long").where("a <> b").distinct(), "proposed")
+    def propose_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All near pairs of an anchor in different components; rows come sorted by anchor."""
+        anchor, block = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for a, b in _across(np.concatenate(block)) if block else ():
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            key = batch.column("anchor").to_numpy()
+            if not len(key):
+                continue
+            rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            end = np.append(start[1:], len(key))
+            several = np.minimum.reduceat(rows[:, 3], start) != np.maximum.reduceat(rows[:, 3], start)
+            several[[0, -1]] = True
+            for s, e in zip(start[several].tolist(), end[several].tolist()):
+                if key[s] != anchor:
+                    yield from settle()
+                    anchor, block = key[s], []
+                block.append(rows[s:e])
+        yield from settle()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,13 +216,29 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
                 keep.append(shared >= similarity * max(1, len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))))
     slotted = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("slot"))
-    sets = materialise(slotted.mapInArrow(shingles, "node long, shingles binary"), "shingles")
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    sure = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+    def sure(links: DataFrame) -> DataFrame:
+        """The links u, v whose shingle sets are as similar as asked for."""
+        nonlocal wanted
+        wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))))
+        sets = materialise(slotted.mapInArrow(shingles, "node long, shingles binary"), "shingles")
+        left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        verified = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+        return materialise(verified.select(F.col("a").alias("u"), F.col("b").alias("v")), "sure")
+
+    def met(labelled: DataFrame) -> DataFrame:
+        return labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
+
+    wanted = np.zeros(0, dtype=np.uint64)
+    nearest = materialise(met(points.withColumn("component", F.col("node"))).mapInArrow(propose, "a long, b long").where("a <> b").distinct(), "proposed")
     copies = of.join(points, ["same", "x", "y"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    roots = components(sure.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies))
+    found = copies.unionByName(sure(nearest))
+    roots = components(found)
+    labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", F.coalesce("root", "node").alias("component"))
+    rest = materialise(met(labelled).mapInArrow(propose_rest, "a long, b long").where("a <> b").distinct().join(nearest, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        roots = components(found.unionByName(sure(rest)))
     ids = of.select("doc_id").distinct()
     return ids.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 

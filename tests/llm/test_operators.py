@@ -248,6 +248,24 @@ def test_near_copies(spark):
     assert kept.columns == frame(spark, rows).columns and nearcopies.drop_near_copies(frame(spark, [])).count() == 0
 
 
+def cut_and_extended(rng, n, lo=0.805, hi=0.9):
+    """Pairs of texts of 60 to 600 words at similarities from lo to hi: one cut short, extended or with a block taken out."""
+    for i in range(n):
+        size = rng.randrange(60, 600)
+        words = [f"{rng.choice(WORDS)}x{rng.randrange(40)}" for _ in range(size)]
+        less = max(1, int(size * (1 - rng.uniform(lo, hi))) - 9)
+        at = [0, size - less, rng.randrange(size - less)][i % 3]
+        yield " ".join(words), " ".join(words[:at] + words[at + less :])
+
+
+def test_near_copies_cut_short(spark):
+    rows = [(2 * i + k, t) for i, pair in enumerate(cut_and_extended(random.Random(3), 300)) for k, t in enumerate(pair)]
+    sets = [set(nearcopies.shingle_set(t, 5).tolist()) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n long, node string, raw string"
 
 
