@@ -266,6 +266,18 @@ def test_near_copies_cut_short(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_copies_behind_the_same_vocabulary(spark):
+    rng, rows = random.Random(4), []
+    for i in range(8):
+        words = [f"{w}{i}" for w in WORDS[:200]]
+        for _ in range(2):
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), " ".join(words[20:] + words[:20])))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(frame(spark, rows)).collect()}
+    assert got == {i: i - (i % 3 == 2) for i, _ in rows}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n long, node string, raw string"
 
 
