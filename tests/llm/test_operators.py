@@ -278,6 +278,23 @@ def test_near_copies_behind_the_same_vocabulary(spark):
     assert got == {i: i - (i % 3 == 2) for i, _ in rows}
 
 
+def test_near_copies_at_full_anchors(spark):
+    rng, rows = random.Random(6), []
+    for _ in range(3):
+        base = [rng.choice(WORDS) for _ in range(200)]
+        for _ in range(40):
+            w = list(base)
+            at = rng.randrange(170)
+            w[at : at + 22] = [f"e{len(rows)}-{k}" for k in range(22)]
+            rows.append((len(rows), " ".join(w)))
+    pairs = [(i, " ".join(t.split()[: -rng.randrange(2, 5)])) for i, t in rows]
+    rows += [(1000 - i, t) for i, t in pairs]
+    sets = [(i, set(nearcopies.shingle_set(t, 5).tolist())) for i, t in rows]
+    want = brute_components(sets, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(frame(spark, rows), hold=2).collect()}
+    assert len(set(want.values())) > 40 and got == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n long, node string, raw string"
 
 
