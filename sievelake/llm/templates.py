@@ -6,9 +6,11 @@ other fields are variable; tokens with digits or at signs are variable from the
 start. A template recurs if enough documents hold it in different surroundings;
 lines of recurring templates are dropped everywhere.
 
-The surroundings of a line are a min-hash of the document's other lines. What
+The surroundings of a line are min-hashes of the document's other lines. What
 recurs with its surroundings is a copied document, not a template, and is left
-to document dedup: templates need different surroundings in most documents.
+to document dedup: documents whose surroundings agree in SAME of SLOTS min-hashes
+count as one, however many they are and whatever part of them is boilerplate below
+about four fifths. Only as many different surroundings as are asked for are kept.
 
 Passes over the documents: count surroundings by leaf; parse the lines of leaves
 that can hold a recurring template; drop lines. Each batch sums its own rows
@@ -36,7 +38,10 @@ DEPTH, TOKENS = 3, 4
 COMPARED = 1000
 #: Leaves or lines that are sent to all tasks; more of them are joined instead.
 SENT = 1_000_000
+#: Min-hashes of a line's surroundings, a byte of each, and how many agree in copies: 25.6 are expected at a similarity of 0.8, 19 where shared lines make up three quarters.
+SLOTS, SAME = 32, 23
 VARIABLE = "<*>"
+_FACTORS, _TERMS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(SLOTS + 1, 2 * SLOTS + 1, dtype=np.uint64))
 _FIELD = re.compile(r"\S*[\d@]\S*")
 _HAS_FIELD = re.compile(r"[\d@]")
 
@@ -77,6 +82,35 @@ def surroundings(text: str) -> np.ndarray:
     return np.minimum(before[:-2], after[2:])
 
 
+def sketches(text: str) -> np.ndarray:
+    """For each line of a text, a byte of each of SLOTS min-hashes of three words within another line."""
+    raw = text.encode("utf-8", "surrogatepass")
+    breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+    places, words = located_words(raw)
+    least = np.full((len(breaks) + 3, SLOTS), np.iinfo(np.uint32).max, dtype=np.uint32)
+    if len(words) > 2:
+        line = np.searchsorted(breaks, places)
+        inside = line[2:] == line[:-2]
+        found, of = mix(grams(words, 3))[inside], line[:-2][inside] + 1
+        for at in range(0, len(found), 1 << 12):
+            values, some = ((found[at : at + (1 << 12), None] * _FACTORS + _TERMS) >> np.uint64(32)).astype(np.uint32), of[at : at + (1 << 12)]
+            first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            least[some[first]] = np.minimum(least[some[first]], np.minimum.reduceat(values, first))
+    before, after = np.minimum.accumulate(least), np.minimum.accumulate(least[::-1])[::-1]
+    return np.minimum(before[:-2], after[2:]).astype(np.uint8)
+
+
+def different(rows: np.ndarray, most: int, known: np.ndarray) -> np.ndarray:
+    """``known`` and the rows that agree in SAME slots with none of these or of the rows taken before, ``most`` at most."""
+    for k in known:
+        rows = rows[(rows == k).sum(axis=1) < SAME]
+    taken = list(known)
+    while len(rows) and len(taken) < most:
+        taken.append(rows[0])
+        rows = rows[(rows == rows[0]).sum(axis=1) < SAME]
+    return np.array(taken, dtype=np.uint8).reshape(-1, SLOTS)
+
+
 def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, leaves: np.ndarray | None, texts: bool) -> Iterator[pa.RecordBatch]:
     """Documents by leaf (and line) and surroundings, summed within a batch; of the leaves given, if any are."""
     wanted = None if leaves is None else set(leaves.tolist())
@@ -86,10 +120,10 @@ def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, leaves: np
             text = t.as_py() or ""
             parsed = [(i, p) for i, line in enumerate(text.split("\n")) if (p := parse(line, depth, tokens)) and (wanted is None or p[0] in wanted)]
             if parsed:
-                around = surroundings(text)
-                total.update({(*(p if texts else p[:1]), int(around[i])) for i, p in parsed})
+                around = sketches(text)
+                total.update({(*p, around[i].tobytes()) if texts else (p[0], xxhash.xxh64_intdigest(around[i].tobytes()) - (1 << 63)) for i, p in parsed})
         columns = list(zip(*total)) if total else [[]] * (4 if texts else 2)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64()) if texts else (pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary()) if texts else (pa.int64(), pa.int64())
         names = ["leaf", "line", "masked", "around"] if texts else ["leaf", "around"]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(total.values()), pa.int64())], names=[*names, "docs"])
 
@@ -127,7 +161,7 @@ class Leaf:
         return name
 
 
-def recurring_lines(docs: DataFrame, min_docs: int, share: float, similar: float, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
     """line (hash of a masked line), template and n_docs of the lines of recurring templates of docs (text)."""
     spark = docs.sparkSession
     n = partitions(spark)
@@ -135,7 +169,7 @@ def recurring_lines(docs: DataFrame, min_docs: int, share: float, similar: float
     by_leaf = texts.mapInArrow(lambda b: _sums(b, depth, tokens, None, False), "leaf long, around long, docs long")
     leaves = materialise(by_leaf.groupBy("leaf", "around").agg(F.sum("docs").alias("docs")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     few = np.sort(leaves.toArrow().column("leaf").to_numpy()) if leaves.count() <= SENT else None
-    lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, few, True), "leaf long, line long, masked string, around long, docs long")
+    lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, few, True), "leaf long, line long, masked string, around binary, docs long")
     if few is None:
         lines = lines.join(leaves, "leaf", "left_semi")
     summed = materialise(lines.groupBy("leaf", "line", "masked", "around").agg(F.sum("docs").alias("docs")), "lines")
@@ -152,19 +186,45 @@ def recurring_lines(docs: DataFrame, min_docs: int, share: float, similar: float
 
     distinct = summed.select("leaf", "line", "masked").distinct().repartition(n, "leaf").sortWithinPartitions("leaf", "masked")
     grown = materialise(distinct.mapInArrow(grow, "leaf long, line long, template long"), "templates")
-    counted = summed.select("leaf", "line", "around", "docs").join(grown, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs"))
-    held = counted.groupBy("leaf", "template").agg(F.count("*").alias("places"), F.sum("docs").alias("n_docs"))
-    recurring = held.where((F.col("places") >= min_docs) & (F.col("places") >= share * F.col("n_docs"))).select("leaf", "template", "n_docs")
+    counted = materialise(summed.select("leaf", "line", "around", "docs").join(grown, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs")), "counted")
+    held = counted.groupBy("leaf", "template").agg(F.count("*").alias("places"), F.sum("docs").alias("n_docs")).where(F.col("places") >= min_docs)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Different surroundings of a template, min_docs at most; rows come sorted by leaf and template."""
+        key, known = None, np.zeros((0, SLOTS), dtype=np.uint8)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(known), pa.int64()), pa.array([key[1]] * len(known), pa.int64()), pa.array([k.tobytes() for k in known], pa.binary())], names=["leaf", "template", "around"])
+
+        for batch in batches:
+            keys = np.stack([batch.column("leaf").to_numpy(), batch.column("template").to_numpy()], axis=1)
+            rows = np.frombuffer(b"".join(batch.column("around").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+            start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+            for s, e in zip(start, [*start[1:], len(keys)]):
+                if key != (at := tuple(keys[s].tolist())):
+                    if key is not None:
+                        yield out()
+                    key, known = at, known[:0]
+                if len(known) < min_docs:
+                    known = different(rows[s:e], min_docs, known)
+        if key is not None:
+            yield out()
+
+    # first by template and a min-hash, in which most copies agree, so that no task gets all documents of a common line
+    schema, order = "leaf long, template long, around binary", ["leaf", "template", "around"]
+    some = counted.join(held.select("leaf", "template"), ["leaf", "template"], "left_semi").select(*order)
+    for by in (["leaf", "template", F.substring("around", 1, 1)], ["leaf", "template"]):
+        some = some.repartition(n, *by).sortWithinPartitions(*order).mapInArrow(spread, schema)
+    recurring = some.groupBy("leaf", "template").count().where(F.col("count") >= min_docs).join(held, ["leaf", "template"]).select("leaf", "template", "n_docs")
     return grown.join(recurring, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, share: float = 0.5, similar: float = 0.7, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, similar: float = 0.7, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
     """The rows of docs (text and any other columns) without the lines of recurring templates.
 
     ``text`` keeps its other lines, joined by newlines; n_lines and n_removed are
     added. A template recurs if at least min_docs documents hold it in different
-    surroundings and these are at least ``share`` of all documents that hold it;
-    lines agree if the share ``similar`` of their tokens is equal. Lines with fewer
+    surroundings, however many copies of them there are; lines agree if the share ``similar`` of their tokens is equal. Lines with fewer
     tokens than ``tokens`` are never dropped.
 
     A null text stays null with no lines; an empty one has one empty line. Repeated
@@ -174,7 +234,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, share: float = 0.5
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("n_lines", "n_removed")
-    found = materialise(recurring_lines(docs, min_docs, share, similar, depth, tokens).select("line").distinct(), "dropped")
+    found = materialise(recurring_lines(docs, min_docs, similar, depth, tokens).select("line").distinct(), "dropped")
     at = docs.columns.index("text")
     if found.count() <= SENT:
         dropped = np.sort(found.toArrow().column("line").to_numpy())

@@ -433,6 +433,25 @@ def test_line_templates(spark, monkeypatch, sent):
     assert got.columns == [*df.columns, "n_lines", "n_removed"] and templates.drop_recurring_lines(df.where("false")).count() == 0
 
 
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n))
+
+
+def test_line_templates_among_copies_and_boilerplate(spark):
+    rng = random.Random(8)
+    license, page = "This text may be copied under the usual terms.", [prose(rng, 12) for _ in range(6)]
+    rows = [f"{license}\n{prose(rng, 15)}\n{prose(rng, 15)}" for _ in range(30)]
+    for _ in range(200):  # near copies of one page
+        line, words = rng.randrange(6), [x.split() for x in page]
+        words[line][rng.randrange(3, 12)] = "edited"
+        rows.append("\n".join([license, *map(" ".join, words)]))
+    shared = [prose(rng, 14) for _ in range(5)]  # seventy words in a hundred
+    rows += ["\n".join([*shared, prose(rng, 15), prose(rng, 15)]) for _ in range(80)]
+    got = [r.text for r in templates.drop_recurring_lines(frame(spark, list(enumerate(rows)))).orderBy("doc_id").collect()]
+    gone = {license, *shared}
+    assert got == ["\n".join(x for x in t.split("\n") if x not in gone) for t in rows]
+
+
 # classifiers
 
 
