@@ -20,7 +20,9 @@ so a very common line is one row there.
 
 from __future__ import annotations
 
+import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +36,6 @@ from .common import grams, located_words, materialise, mix, partitions, prepare,
 
 #: Leading tokens of the tree, and tokens that a line needs at least.
 DEPTH, TOKENS = 3, 4
-#: Templates of one leaf that lines are compared with; once a leaf has more, a new line that fits none of them is a template of its own, and is counted as such.
-COMPARED = 1000
 #: Leaves or lines that are sent to all tasks; more of them are joined instead.
 SENT = 1_000_000
 #: Min-hashes of a line's surroundings, a byte of each, and how many agree in copies: 25.6 are expected at a similarity of 0.8, 19 where shared lines make up three quarters.
@@ -134,27 +134,43 @@ class Leaf:
     A line joins the template that it agrees with in most tokens, the earliest of
     equals, if that is at least the share ``similar`` of them; fields that differ
     become variable. Else it begins a template, named by its hash.
+
+    Templates are listed by place and token. One that a line may join differs from
+    it in ``spare`` places at most, so it is in one of any spare + 1 of the line's
+    lists; the shortest are read. Lists aren't shortened when a field becomes
+    variable, which only adds templates to compare with.
     """
 
-    def __init__(self, similar: float, compared: int = COMPARED) -> None:
-        self.similar, self.compared = similar, compared
+    def __init__(self, similar: float) -> None:
+        self.similar = similar
         self.templates: list[list[str]] = []
         self.names: list[int] = []
+        self.listed: list[dict[str, list[int]]] = []
         self.last: tuple[str, int] | None = None
 
     def template(self, masked: str) -> int:
         if self.last and self.last[0] == masked:
             return self.last[1]
-        tokens = masked.split(" ")
+        tokens = list(map(sys.intern, masked.split(" ")))
+        while len(self.listed) < len(tokens):
+            self.listed.append({})
         best, agreed = -1, self.similar * len(tokens) - 1e-9
-        for i, t in enumerate(self.templates):
-            n = sum(map(str.__eq__, t, tokens))
+        spare = len(tokens) - math.ceil(agreed)
+        lists = sorted((d.get(t, []) for d, t in zip(self.listed, tokens)), key=len)[: spare + 1]
+        for i in sorted(set().union(*lists)) if spare < len(tokens) else range(len(self.templates)):
+            n = sum(map(str.__eq__, self.templates[i], tokens))
             if n >= agreed and (best < 0 or n > agreed):
                 best, agreed = i, n
         name = _hash(masked) if best < 0 else self.names[best]
         if best >= 0:
-            self.templates[best] = [x if x == y else VARIABLE for x, y in zip(self.templates[best], tokens)]
-        elif len(self.templates) < self.compared:
+            now = self.templates[best]
+            for k, (x, y) in enumerate(zip(now, tokens)):
+                if x != y and x != VARIABLE:
+                    now[k] = VARIABLE
+                    self.listed[k].setdefault(VARIABLE, []).append(best)
+        else:
+            for k, t in enumerate(tokens):
+                self.listed[k].setdefault(t, []).append(len(self.templates))
             self.templates.append(tokens)
             self.names.append(name)
         self.last = (masked, name)

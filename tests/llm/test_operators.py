@@ -452,6 +452,25 @@ def test_line_templates_among_copies_and_boilerplate(spark):
     assert got == ["\n".join(x for x in t.split("\n") if x not in gone) for t in rows]
 
 
+def test_line_templates_of_a_full_leaf():
+    rng = random.Random(2)
+    lines = [f"<*> <*> <*> {' '.join(f'w{rng.randrange(10**6)}' for _ in range(7))}" for _ in range(1500)] + [f"<*> <*> <*> z the job {k} has ended well now" for k in range(20)]
+    leaf = templates.Leaf(0.7)
+    assert len({leaf.template(m) for m in sorted(lines)}) == 1501
+    few = sorted({" ".join(["a b c", *(rng.choice(["x", "y", "<*>", f"v{rng.randrange(9)}"]) for _ in range(rng.choice([3, 6])))]) for _ in range(2000)})
+    for n in (6, 9):
+        leaf, groups = templates.Leaf(0.7), []
+        for m in (x for x in few if x.count(" ") == n - 1):
+            agree = lambda g: sum(a == b for a, b in zip(g[0], m.split(" ")))  # noqa: B023, E731
+            best = max(groups, key=agree, default=None)
+            if best and agree(best) >= 0.7 * n - 1e-9:
+                best[0] = [a if a == b else "<*>" for a, b in zip(best[0], m.split(" "))]
+            else:
+                best = [m.split(" "), templates._hash(m)]
+                groups.append(best)
+            assert leaf.template(m) == best[1]
+
+
 # classifiers
 
 
