@@ -4,7 +4,9 @@ A disguised word is a lattice: a sign stands for itself or for the letters it
 looks like, a run of three or more equal signs for one or two of them, and a
 separator for itself or for nothing. Viterbi decoding finds the path that the
 character language model and the costs of the channel together like best. A word
-without such signs has one path, itself, so it isn't decoded.
+without such signs has one path, itself, so it isn't decoded. A word whose only
+such signs are separators between letters may be a plain compound: what it is
+decoded to counts beside its parts.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ _SEVERAL = re.compile(r"(.)\1\1")
 _EDGE_RUN = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile("[" + re.escape("".join(LOOKS)) + "]")
-#: Three or more single signs with one white-space sign between each two.
+_SEPARATED = re.compile(r"[^\W\d_][" + re.escape(SEPARATORS) + r"]+[^\W\d_]")
+#: Three or more single signs with one white-space sign between each two, and with any white space; wider gaps may be those between words, so both are read.
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
 
 def trigram_counts(text: str | None) -> np.ndarray:
@@ -124,6 +128,8 @@ class Restorer:
             lone = len(parts) > 2 and max(map(len, parts)) == 1
             if parts and (lone or _SEVERAL.search(core) or (len(parts[0]) != len(core) and _SUSPECT.search(core))):
                 parts = _LETTERS.findall(self.decode(core))
+            elif len(parts) > 1 and _SEPARATED.search(core):
+                parts += _LETTERS.findall(self.decode(core))
             if len(self.known) >= self.remember:
                 self.known.clear()
             found = self.known[token] = tuple(parts)
@@ -135,6 +141,6 @@ class Restorer:
         out: set[str] = set()
         for token in set(low.split()):
             out.update(self.words(token))
-        for m in SPACED.finditer(low):
-            out.update(self.words(" ".join(m[0].split())) if len(m[0]) > 1 else ())
+        for m in (*SPACED.finditer(low), *APART.finditer(low)):
+            out.update(self.words(" ".join(m[0].split())))
         return out

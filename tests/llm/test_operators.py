@@ -535,6 +535,15 @@ def test_restoring_words():
     assert r.restore(None) == r.restore("") == set() and r.restore("plain words, here.") == {"plain", "words", "here"}
 
 
+def test_restoring_separated_words():
+    texts = ["you stupid idiot and moron of a grubber, this is the worst day of the week so far"] * 3 + ["plain words of a well known kind are here"]
+    r = deobfuscate.Restorer(deobfuscate.language_model(sum(deobfuscate.trigram_counts(t) for t in texts)))
+    assert r.restore("id-iot, st.upid mo_ron g*r~ubber") >= {"idiot", "stupid", "moron", "grubber"}
+    assert r.restore("s-t-u-p-id") >= {"stupid"} and r.restore("well-known words") >= {"well", "known", "words"}
+    for blanks in (" ", "  ", " \t", "\n\n"):
+        assert r.restore(blanks.join("stupid")) >= {"stupid"} and r.restore("s t u p i d   i d i o t") >= {"stupid", "idiot"} and r.restore(f"you {blanks.join('idiot')} here") >= {"you", "idiot", "here"}
+
+
 # chats
 
 
