@@ -27,8 +27,6 @@ SEPARATORS = " .-_*~'`^#%&,/"
 EDGES = ".,;:!?\"'()[]{}|<>«»“”„…-_*~`^#%&/="
 #: Symbols of the language model: 0 between words, 1 to 26 for a to z, 27 for other letters.
 SYMBOLS = 28
-#: Signs that are decoded at a time.
-PIECE = 64
 
 
 def _symbol(c: str) -> int:
@@ -67,6 +65,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+def _written(chain: tuple | None) -> str:
+    """What a path wrote, from its chain of (what came before, text)."""
+    out = []
+    while chain:
+        chain, text = chain
+        out.append(text)
+    return "".join(reversed(out))
+
+
 class Restorer:
     """Restores the words of texts; remembers what it has decoded.
 
@@ -78,11 +85,9 @@ class Restorer:
         self.known: dict[str, tuple[str, ...]] = {}
         self.remember = remember
 
-    def _edges(self, s: str, i: int) -> list[tuple[int, str, float]]:
-        """Where the paths at i lead to, what they write, and what the channel takes for it."""
-        c, n = s[i], 1
-        while i + n < len(s) and s[i + n] == c:
-            n += 1
+    def _edges(self, s: str, i: int, end: int) -> list[tuple[int, str, float]]:
+        """Where the paths at i lead to, what they write, and what the channel takes for it; the run of equal signs ends at end."""
+        c, n = s[i], end - i
         out: list[tuple[int, str, float]] = []
         letters = c if c.isalpha() else LOOKS.get(c, "")
         cost = 0.0 if c.isalpha() else SIGN
@@ -97,27 +102,38 @@ class Restorer:
         return out
 
     def decode(self, s: str) -> str:
-        """The likeliest writing of a disguised word or of a spaced-out one; long ones in pieces."""
-        if len(s) > PIECE:
-            return "".join(self.decode(s[at : at + PIECE]) for at in range(0, len(s), PIECE))
+        """The likeliest writing of a disguised word or of a spaced-out one, however long.
+
+        States are pairs of symbols. Paths are chains of what they wrote, which share
+        their beginnings, and only places ahead are held, so long ones take memory
+        and time by their length.
+        """
         model = self.model
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(s) + 1)]
-        best[0][0, 0] = (0.0, "")
+        best: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(0, 0): (0.0, None)}}
+        end = 0
         for i in range(len(s)):
-            if not best[i]:
+            if i >= end:
+                end = i + 1
+                while end < len(s) and s[end] == s[i]:
+                    end += 1
+            here = best.pop(i, None)
+            if not here:
                 continue
-            edges = self._edges(s, i)
-            for (a, b), (so_far, written) in best[i].items():
+            edges = self._edges(s, i, end)
+            for (a, b), (so_far, written) in here.items():
                 for to, text, cost in edges:
                     p, q, total = a, b, so_far - cost
                     for x in text:
                         r = _symbol(x)
                         total += model[p][q][r]
                         p, q = q, r
-                    old = best[to].get((p, q))
+                    there = best.setdefault(to, {})
+                    old = there.get((p, q))
                     if old is None or total > old[0]:
-                        best[to][p, q] = (total, written + text)
-        return max(best[-1].items(), key=lambda x: (x[1][0] + model[x[0][0]][x[0][1]][0], x[1][1]))[1][1]
+                        there[p, q] = (total, (written, text) if text else written)
+        last = [(total + model[p][q][0], chain) for (p, q), (total, chain) in best[len(s)].items()]
+        top = max(x for x, _ in last)
+        return max(_written(chain) for x, chain in last if x == top)
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words that a token (small letters, no white space) stands for."""

@@ -544,6 +544,13 @@ def test_restoring_separated_words():
         assert r.restore(blanks.join("stupid")) >= {"stupid"} and r.restore("s t u p i d   i d i o t") >= {"stupid", "idiot"} and r.restore(f"you {blanks.join('idiot')} here") >= {"you", "idiot", "here"}
 
 
+def test_restoring_long_stretches():
+    texts = ["you stupid idiot and moron of a grubber, this is the worst day of the week so far"] * 3
+    r = deobfuscate.Restorer(deobfuscate.language_model(sum(deobfuscate.trigram_counts(t) for t in texts)))
+    assert r.decode(" ".join("6ru66er" * 40)).replace(" ", "") == "grubber" * 40
+    assert r.decode("-" * 50_000 + "id-iot" + "1" * 50_000).lstrip("-").startswith("idiot")
+
+
 # chats
 
 
