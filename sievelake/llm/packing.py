@@ -3,12 +3,14 @@
 Documents become fixed-length training sequences. Pieces as long as a sequence
 fill one each; every shorter piece goes where the sum of N(g)**2 over the gaps g
 of the open sequences, N(g) of which have g places left, becomes smallest. That
-keeps the gaps varied, so that later pieces find a gap they fill.
+keeps the gaps varied, so that later pieces find a gap they fill. A new sequence
+is opened only if no gap is large enough; the rule in which opening one is a
+choice like any other (``opening``) needs more sequences.
 
-The pieces are dealt out in blocks of a bounded number of documents by a hash of
-their place in the input, so that neither a hot key nor a large table gathers in
-one task; each block is packed by itself, longest pieces first, which wastes a
-few sequences a block.
+The documents are dealt out in blocks of a bounded number by a hash of their place
+in the input, so that neither a hot key nor a large table gathers in one task.
+A task holds one block, which is packed by itself, longest pieces first; that
+wastes a few sequences a block.
 
 Null and empty texts are documents of one end token. Repeated rows and ties
 are documents of their own. Columns other than doc_id and text aren't read. An
@@ -29,17 +31,18 @@ from pyspark.sql import functions as F
 from .common import mix, prepare
 from .tokens import bpe
 
-#: Documents that are packed together; also the most that one task holds.
+#: Documents that are packed together, on average; a task holds one such block.
 BLOCK = 1 << 16
 
 
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int, opening: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece; all lengths from 1 to the capacity.
 
     A piece of length s takes the gap g >= s with the smallest change of the sum
     of squares: 2 * (N(g - s) - N(g) + 1), or 1 - 2 * N(s) if it fills the gap, as
     full sequences don't count. Ties go to the smallest gap. A new sequence is
-    opened only when no gap is large enough.
+    opened only when no gap is large enough, or, with ``opening``, also if that
+    changes the sum by less: 2 * N(capacity - s) + 1.
     """
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     never = np.int64(1) << 60
@@ -52,7 +55,7 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         s = int(lengths[i])
         change = gain[: capacity + 1 - s] + loss[s:]
         best = int(change.argmin())
-        if change[best] >= never // 2:
+        if change[best] >= never // 2 or opening and s < capacity and gain[capacity - s] + 1 < change[best]:
             gap, at = capacity, opened
             opened += 1
         else:
@@ -68,11 +71,11 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def tokenised(docs: DataFrame, vocab: str, capacity: int, end: int, blocks: int) -> DataFrame:
+def tokenised(docs: DataFrame, vocab: str, capacity: int, end: int, blocks: int, plain: bool) -> DataFrame:
     """One row per document: doc_id, n_tokens, the CRC-32 of each piece, and its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, row, encoder = TaskContext.get().partitionId(), 0, bpe(vocab)
+        task, row, encoder = TaskContext.get().partitionId(), 0, bpe(vocab, plain)
         for batch in batches:
             ids, crcs = [], []
             for text in batch.column("text"):
@@ -90,10 +93,11 @@ def tokenised(docs: DataFrame, vocab: str, capacity: int, end: int, blocks: int)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>, block int")
 
 
-def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 1024, end: int = 2, block: int = BLOCK) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 1024, end: int = 2, block: int = BLOCK, plain: bool = False) -> DataFrame:
     """Packs documents (doc_id, text) into sequences of at most capacity tokens.
 
-    A document is the ids of its text and the end id. One that is longer than a
+    A document is the ids of its text, as the tokenizers library gives them, and the
+    end id; ``plain`` takes the strings of added tokens as ordinary text. One that is longer than a
     sequence is cut: the first piece takes the rest, all others are full. Returns
     per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset; offsets
     of a sequence run from 0 without gaps.
@@ -129,5 +133,5 @@ def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 1024, end: int
             for at in range(0, out.num_rows, 50_000):
                 yield out.slice(at, 50_000)
 
-    dealt = tokenised(docs, vocab, capacity, end, blocks).repartition(blocks, "block")
+    dealt = tokenised(docs, vocab, capacity, end, blocks, plain).repartitionById(blocks, "block")
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,14 +1,17 @@
 """Byte-level BPE ids of whole texts.
 
-The ids are those that the tokenizers library gives for a byte-level BPE file
-(``encode`` without special tokens, ``encode_special_tokens`` on). They are
-computed by tiktoken over the ranks in that file, because that is ten times
-as fast; tests hold both against each other.
+The ids are those that the tokenizers library gives for a byte-level BPE file by
+``encode(text, add_special_tokens=False)`` with its defaults: none are added, but the
+string of an added token that stands in a text is that token. They are computed by
+tiktoken over the ranks in that file, because that is ten times as fast; tests
+hold both against each other. ``plain`` takes such strings as ordinary text, as the
+library does with ``encode_special_tokens`` on.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +29,15 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def ranks(path: str) -> dict[bytes, int]:
-    """Token bytes and ids of a tokenizers file; its added tokens are left out."""
+def ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a tokenizers file, and its added tokens with theirs."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    added, letters = {x["content"] for x in spec.get("added_tokens", [])}, byte_of_letter()
-    return {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+    tokens, letters = spec.get("added_tokens", []), byte_of_letter()
+    if any(x.get(k) for x in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that look at their neighbours aren't known here")
+    added = {x["content"]: x["id"] for x in tokens}
+    return {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}, added
 
 
 class Bpe:
@@ -39,14 +45,28 @@ class Bpe:
 
     A blank after a character that isn't white space always starts a new piece of
     the split pattern, so long texts can be encoded in parts between such blanks.
+    Added tokens cut a text; what lies between is encoded by itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         import tiktoken
 
-        self.core = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+        found, self.added = ranks(path)
+        self.core = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
+        some = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, some)) + ")") if some and not plain else None
 
     def _parts(self, text: str) -> Iterator[list[int]]:
+        if self.cut is None or not self.cut.search(text):
+            yield from self._ordinary(text)
+            return
+        for i, part in enumerate(self.cut.split(text)):
+            if i % 2:
+                yield [self.added[part]]
+            else:
+                yield from self._ordinary(part)
+
+    def _ordinary(self, text: str) -> Iterator[list[int]]:
         at, n = 0, len(text)
         while at < n:
             to = n if n - at <= PART else at + PART
@@ -60,16 +80,12 @@ class Bpe:
         parts = [np.array(x, dtype="<u4") for x in self._parts(text)]
         return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, dtype="<u4")])
 
-    def count(self, text: str) -> int:
-        """How many ids the whole text has."""
-        return sum(map(len, self._parts(text)))
 
+_bpe: dict[tuple[str, bool], Bpe] = {}
 
-_bpe: dict[str, Bpe] = {}
 
-
-def bpe(path: str) -> Bpe:
+def bpe(path: str, plain: bool = False) -> Bpe:
     """One encoder a worker process and file."""
-    if path not in _bpe:
-        _bpe[path] = Bpe(path)
-    return _bpe[path]
+    if (path, plain) not in _bpe:
+        _bpe[path, plain] = Bpe(path, plain)
+    return _bpe[path, plain]
