@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +18,7 @@ _BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _SEGMENT = 1 << 20  # bytes that are hashed at a time
 _powers: dict[str, np.ndarray] = {}
+_written: list[str] = []  # folders of materialise() that are still there
 
 
 def prepare(spark: SparkSession) -> None:
@@ -42,12 +45,45 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if (path := getattr(df, "_written", None)) in _written:
+            _written.remove(path)
+            delete(df.sparkSession, path)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end whatever materialise() wrote within, but for the frames handed to what it gives."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written)
+        return df
+
+    yield keep
+    for path in [x for x in _written if x not in before and x not in kept]:
+        _written.remove(path)
+        delete(spark, path)
 
 
 def unused(df: DataFrame, name: str) -> str:

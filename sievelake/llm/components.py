@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Pairs that are compared at a time.
 BLOCK = 1 << 22
@@ -57,7 +57,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(both, "edges")
-    seen = None
     for _ in range(rounds):
         # large star: (larger neighbour, smallest of the neighbourhood)
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -66,11 +65,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest; now every edge has u > v
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h"), F.sum(F.col("v") % 1_000_003).alias("s")).first()
-        if now == seen:
+        now = materialise(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # a round that only leaves edges as they were is the last; so many edges as before and none that is new
+        settled = now.count() == edges.count() and now.join(edges, ["u", "v"], "left_anti").isEmpty()
+        discard(edges)
+        edges = now
+        if settled:
             break
-        seen = now
     else:
         raise RuntimeError("the components didn't settle")
     stars = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")

@@ -1,20 +1,19 @@
 """Training-order materialisation of token sequences.
 
-Documents become sequences of a fixed number of ids (the last of a document is
-padded). Sequences are numbered in input order; a keyed Feistel permutation,
-walked along its cycle until it falls within the number of sequences, gives each
-number a global slot, so the order of training is random, reproducible from the
-key, and computed for each row alone. A shard is a range of slots; its file holds
-one record of a fixed stride a slot. So a reader that is told a slot knows the
-file and the byte, reads sequentially from there, and resumes anywhere.
-
-Two passes tokenise: the first only counts the sequences of each input split, the
-second numbers them from these counts. That takes more CPU and much less disk
-than writing the ids down in between. A split whose count isn't the one counted
-before fails the job rather than give two sequences one slot.
-
-A shard is written under a name of its attempt and then renamed, so a task that is
-run again, or twice at once, leaves the same file.
+The documents of an input split, each closed by an end id, follow each other and
+are cut every ``length`` ids; only the last sequence of a split is padded. All
+sequences are numbered, by split and place; a keyed Feistel permutation, walked
+along its cycle until it falls within the number of sequences, gives each number a
+global slot, so the order of training is random, reproducible from the key, and
+computed for each row alone. A shard is a range of slots; its file holds one
+record of a fixed stride a slot. So a reader that is told a slot knows the file
+and the byte, reads sequentially from there, and resumes anywhere.
+
+Texts are tokenised once: the sequences are written to the shared folder with
+their place in their split, and numbered when the sequences of every split are
+known. A shard is written under a name of its attempt and then renamed, so a task
+that is run again, or twice at once, leaves the same file. The manifest comes last:
+a folder with a manifest has all its shards.
 """
 
 from __future__ import annotations
@@ -32,11 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare
+from .common import discard, materialise, mix, prepare
 from .tokens import bpe
 
 #: Rounds of the Feistel network.
 ROUNDS = 6
+#: Sequences of an Arrow batch.
+_BATCH = 2048
+_PARTS = "parts array<struct<doc_id: long, piece: int, start: long, n_ids: int>>"
 
 
 def permute(x: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -61,77 +63,97 @@ def permute(x: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cut(ids: np.ndarray, length: int, pad: int) -> np.ndarray:
-    """The ids as rows of a fixed length."""
-    rows = -(-len(ids) // length)
-    out = np.full(rows * length, pad, dtype=ids.dtype)
-    out[: len(ids)] = ids
-    return out.reshape(rows, length)
+class _Stream:
+    """Cuts a stream of documents into sequences; holds what hasn't filled one yet."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.number = length, 0
+        self.left: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, piece, start, ids
+
+    def add(self, docs: list[tuple[int | None, int, int, np.ndarray]], last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None], np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of all sequences that are full (or left, at last), where they end, and doc_id, piece, start and length of their parts with the sequence that each is of."""
+        docs = self.left + docs
+        if not docs:
+            return
+        flat = np.concatenate([x[3] for x in docs])
+        ends = np.cumsum([len(x[3]) for x in docs])
+        begins = np.concatenate(([0], ends[:-1]))
+        at = np.union1d(begins, np.arange(0, len(flat), self.length))
+        size = np.diff(np.append(at, len(flat)))
+        owner = np.searchsorted(ends, at, side="right")
+        first = np.searchsorted(at, begins)
+        piece = np.array([x[1] for x in docs])[owner] + np.arange(len(at)) - first[owner]
+        start = np.array([x[2] for x in docs])[owner] + at - begins[owner]
+        n = -(-len(flat) // self.length) if last else len(flat) // self.length
+        parts = int(np.searchsorted(at, n * self.length))
+        self.left = [(docs[o][0], int(p), int(s), flat[a : a + k]) for o, p, s, a, k in zip(owner[parts:], piece[parts:], start[parts:], at[parts:], size[parts:])]
+        for i in range(0, n, _BATCH):
+            j = min(n, i + _BATCH)
+            lo, hi = np.searchsorted(at, [i * self.length, j * self.length])
+            bounds = np.minimum(np.arange(i, j + 1) * self.length, len(flat))
+            own = slice(lo, hi)
+            yield flat[bounds[0] : bounds[-1]], bounds - bounds[0], [docs[o][0] for o in owner[own]], piece[own], start[own], np.stack([size[own], at[own] // self.length - i])
 
 
 def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024, per_shard: int = 16_384, key: int = 20_240_601, end: int = 50_256, pad: int = 50_256, width: str = "<u2") -> DataFrame:
     """Writes the sequences of docs (doc_id, text) in training order to the folder ``out`` (a URI that all executors reach).
 
     File ``shard-NNNNNNNN.bin`` holds the slots from N * per_shard on, each as
-    ``length`` ids of type ``width``; ``manifest.json`` says so. Returns per sequence
-    doc_id, piece, n_ids (without padding), slot, shard, byte_offset and crc32 (of
-    its record), once the shards are written: writing is part of running the result.
-
-    docs has to give the same rows in the same splits twice, as a table that is read
-    does; write it first if it comes from a shuffle (else the job may fail, but never
-    writes wrong shards).
-
-    Null and empty texts are one sequence of the end id. Repeated rows are sequences
+    ``length`` ids of type ``width``; ``manifest.json`` says so once all are there.
+    Returns for each part of a document that a sequence holds doc_id, piece (from 0),
+    start (the document's ids before it), n_ids, slot, shard, byte_offset (in the
+    shard's file) and crc32 (of its ids as written). The shards are written when this
+    returns; using the result doesn't write them again.
+
+    Strings of added tokens in a text are ordinary text, so that only ``end`` ends a
+    document. Null and empty texts are the end id alone. Repeated rows are documents
     of their own; doc_id may be anything. Other columns aren't read. An empty table
     gives no rows and no shards.
     """
     spark = docs.sparkSession
     prepare(spark)
     kind = np.dtype(width)
-    texts = docs.select("doc_id", "text")
-
-    def encode(text: str | None) -> np.ndarray:
-        ids = np.append(bpe(vocab).ids(text or ""), np.uint32(end))
-        if int(ids.max()) > np.iinfo(kind).max:
-            raise ValueError(f"an id does not fit {width}")
-        return ids.astype(kind)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe(vocab)
-        n = sum(-(-(encoder.count(t.as_py() or "") + 1) // length) for b in batches for t in b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["split", "n"])
-
-    counts = {r.split: r.n for r in texts.mapInArrow(count, "split long, n long").collect()}  # a row an input split
-    total, first = 0, {}
-    for split in sorted(counts):
-        first[split] = (total, counts[split])
-        total += counts[split]
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, stream, encoder = TaskContext.get().partitionId(), _Stream(length), bpe(vocab, plain=True)
+
+        def rows(found: list[tuple[int | None, int, int, np.ndarray]], last: bool = False) -> Iterator[pa.RecordBatch]:
+            for flat, bounds, doc, piece, start, (size, of) in stream.add(found, last):
+                n = len(bounds) - 1
+                raw, width = flat.tobytes(), kind.itemsize
+                ids = [raw[a * width : b * width] for a, b in zip(bounds, bounds[1:])]
+                parts = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32())], names=["doc_id", "piece", "start", "n_ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), parts)
+                yield pa.RecordBatch.from_arrays([pa.array([split] * n, pa.int64()), pa.array(np.arange(stream.number, stream.number + n), pa.int64()), pa.array(ids, pa.binary()), lists], names=["split", "number", "ids", "parts"])
+                stream.number += n
+
+        for batch in batches:
+            found = []
+            for doc, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text")):
+                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(end))
+                if int(ids.max()) > np.iinfo(kind).max:
+                    raise ValueError(f"an id does not fit {width}")
+                found.append((doc, 0, 0, ids.astype(kind)))
+            yield from rows(found)
+        yield from rows([], last=True)
+
+    sequences = materialise(docs.select("doc_id", "text").mapInArrow(tokenise, f"split long, number long, ids binary, {_PARTS}"), "sequences", "zstd")
+    counts = sequences.groupBy("split").agg((F.max("number") + 1).alias("n")).orderBy("split").toArrow()  # a row an input split
+    splits, sizes = counts.column("split").to_numpy(), counts.column("n").to_numpy()
+    first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
     shards = -(-total // per_shard)
     place, name = fs.FileSystem.from_uri(out)
     place.create_dir(name, recursive=True)
-    with place.open_output_stream(f"{name}/manifest.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "type": width, "stride": length * kind.itemsize, "per_shard": per_shard, "shards": shards, "key": key}).encode())
+    for old in place.get_file_info(fs.FileSelector(name)):
+        if old.base_name == "manifest.json":
+            place.delete_file(old.path)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, squeeze = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3).compress
-        at, n = first.get(split, (0, 0))
-        stop = at + n
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            every = [encode(t.as_py()) for t in batch.column("text")]
-            sizes = np.array([len(x) for x in every])
-            pieces = -(-sizes // length)
-            owner = np.repeat(np.arange(len(every)), pieces)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            slot = permute(np.arange(at, at + len(owner)), total, key)
-            at += len(owner)
-            held = np.minimum(sizes[owner] - piece * length, length)
-            ids = [squeeze(every[o][p * length : (p + 1) * length].tobytes()) for o, p in zip(owner.tolist(), piece.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(held.astype(np.int32)), pa.array(slot), pa.array(slot // per_shard), pa.array(ids, pa.binary())],
-                names=["doc_id", "piece", "n_ids", "slot", "shard", "ids"],
-            )
-        if at != stop:
-            raise RuntimeError(f"split {split} has other rows than when it was counted")
+            at = first[np.searchsorted(splits, batch.column("split").to_numpy())] + batch.column("number").to_numpy()
+            slot = permute(at, total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array([squeeze(x.as_py()) for x in batch.column("ids")], pa.binary()), batch.column("parts")], names=["slot", "shard", "ids", "parts"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, name = fs.FileSystem.from_uri(out)
@@ -146,28 +168,46 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
                 place.move(temporary, f"{name}/shard-{shard:08d}.bin")
 
         for batch in batches:
-            crcs = []
-            for s, slot, n, ids in zip(*(batch.column(k).to_pylist() for k in ("shard", "slot", "n_ids", "ids"))):
+            lists = batch.column("parts")
+            held = np.diff(lists.offsets.to_numpy())
+            parts = lists.flatten()
+            size = parts.field("n_ids").to_numpy().astype(np.int64)
+            slots = batch.column("slot").to_numpy()
+            before = np.cumsum(size) - size
+            begin = np.cumsum(held) - held  # every sequence has a part
+            offset = (before - np.repeat(before[begin], held) if len(held) else before) * kind.itemsize
+            ends, crcs, k = (offset + size * kind.itemsize).tolist(), [], 0
+            starts = offset.tolist()
+            for slot, s, ids, n in zip(slots.tolist(), batch.column("shard").to_pylist(), batch.column("ids"), held.tolist()):
                 if s != shard:
                     close()
                     shard, due, temporary = s, s * per_shard, f"{name}/_{s:08d}-{uuid.uuid4().hex}"
                     stream = place.open_output_stream(temporary)
                 if slot != due:
                     raise RuntimeError(f"slot {due} is missing")
-                record = _cut(np.frombuffer(expand(ids), dtype=kind), length, pad).tobytes()
-                stream.write(record)
-                crcs.append(zlib.crc32(record))
+                raw = expand(ids.as_py())
+                crcs += [zlib.crc32(raw[starts[i] : ends[i]]) for i in range(k, k + n)]
+                k += n
+                stream.write(raw if len(raw) == length * kind.itemsize else raw + np.full(length - len(raw) // kind.itemsize, pad, dtype=kind).tobytes())
                 due += 1
-            slots = batch.column("slot").to_numpy()
+            own = np.repeat(slots, held)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("doc_id", "piece", "n_ids", "slot", "shard")), pa.array(slots % per_shard * (length * kind.itemsize)), pa.array(crcs, pa.int64())],
-                names=["doc_id", "piece", "n_ids", "slot", "shard", "byte_offset", "crc32"],
+                [*(parts.field(x) for x in ("doc_id", "piece", "start", "n_ids")), pa.array(own), pa.array(own // per_shard), pa.array(own % per_shard * (length * kind.itemsize) + offset), pa.array(crcs, pa.int64())],
+                names=["doc_id", "piece", "start", "n_ids", "slot", "shard", "byte_offset", "crc32"],
             )
         close()
 
-    numbered = texts.mapInArrow(number, "doc_id long, piece int, n_ids int, slot long, shard long, ids binary")
-    dealt = numbered.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "doc_id long, piece int, n_ids int, slot long, shard long, byte_offset long, crc32 long")
+    numbered = sequences.mapInArrow(number, f"slot long, shard int, ids binary, {_PARTS}")
+    dealt = numbered.repartitionById(max(1, shards), "shard").sortWithinPartitions("slot")
+    index = materialise(dealt.mapInArrow(write, "doc_id long, piece int, start long, n_ids int, slot long, shard long, byte_offset long, crc32 long"), "order")
+    for left in place.get_file_info(fs.FileSelector(name)):
+        if left.base_name.startswith("_"):  # of attempts that failed
+            place.delete_file(left.path)
+    about = {"sequences": total, "length": length, "type": width, "stride": length * kind.itemsize, "per_shard": per_shard, "shards": shards, "key": key}
+    with place.open_output_stream(f"{name}/manifest.json") as f:
+        f.write(json.dumps(about).encode())
+    discard(sequences)
+    return index
 
 
 def read_slots(out: str, start: int, n: int) -> np.ndarray:

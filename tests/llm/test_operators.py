@@ -64,12 +64,10 @@ def test_word_hashes_and_segments(monkeypatch):
 def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCAB)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCAB)
 
 
-ODD = ["", " ", "  a", "a  b ", "a \n b", "don't 's'S", "<|endoftext|> x", "é è c　d", "a\t\tb", "12 3½ab $$$", "😀 😀😀", "a\u0085b\x1cc", "x" * 300, "A" + " " * 40 + "b", "ﬁ ß İ", "a​b"]
+ODD = ["", " ", "  a", "a  b ", "a \n b", "don't 's'S", "<|endoftext|> x", "a <|endoftext|> b", "a  <|endoftext|><|endoftext|>  b", "<|endoftext", "é è c　d", "a\t\tb", "12 3½ab $$$", "😀 😀😀", "a\u0085b\x1cc", "x" * 300, "A" + " " * 40 + "b", "ﬁ ß İ", "a​b"]
 
 
 def test_ids_are_those_of_the_library(reference, monkeypatch):
@@ -85,10 +83,16 @@ def test_ids_are_those_of_the_library(reference, monkeypatch):
     monkeypatch.setattr(tokens, "PART", 7)
     for text in [*ODD, "some words  and\nmore of  them 'll go on " * 3]:
         same(text)
+    reference.encode_special_tokens = True
+    try:
+        for text in ODD:
+            assert tokens.bpe(VOCAB, plain=True).ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+    finally:
+        reference.encode_special_tokens = False
 
 
 def test_packing(spark, reference):
-    rows = [(i, t) for i, t in random_docs(3)]
+    rows = [*random_docs(3), (90, "a <|endoftext|> b")]
     got = packing.best_fit_packing(frame(spark, rows), VOCAB, capacity=64, block=16).toPandas()
     assert len(got) == sum(max(1, -(-(len(reference.encode(t or "", add_special_tokens=False).ids) + 1) // 64)) for _, t in rows)
     for seq in got.sort_values("offset").groupby("sequence_id"):
@@ -105,6 +109,32 @@ def test_packing(spark, reference):
     assert packing.best_fit_packing(frame(spark, []), VOCAB).count() == 0
 
 
+@pytest.mark.parametrize("opening", [False, True])
+def test_packing_rule_against_brute_force(opening):
+    """Every placement is one whose sum of squares, counted anew for each choice, is smallest."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 9, 40, 120):
+        lengths, capacity = rng.integers(1, 12, n), 11
+        got = packing.pack(lengths, capacity, opening)
+        gaps, at = {}, np.zeros(n, dtype=int)
+
+        def total(change):
+            now = gaps | change
+            counts = [sum(1 for g in now.values() if g == x) for x in range(1, capacity)]  # full sequences and empty ones don't count
+            return sum(c * c for c in counts)
+
+        order = sorted(range(n), key=lambda i: -lengths[i])
+        for i in order:
+            s, seq, off = int(lengths[i]), int(got[0][i]), int(got[1][i])
+            gap = gaps.get(seq, capacity)
+            assert off == capacity - gap >= 0 and s <= gap
+            choices = {x: total({x: g - s}) for x, g in gaps.items() if g >= s and g}
+            if opening or not choices:
+                choices[max(gaps, default=-1) + 1] = total({max(gaps, default=-1) + 1: capacity - s})
+            assert choices[seq] == min(choices.values())
+            gaps[seq] = gap - s
+
+
 def test_packing_is_tight():
     rng = np.random.default_rng(1)
     for n in (1, 7, 5000):
@@ -116,19 +146,37 @@ def test_packing_is_tight():
 def test_shards_round_trip(spark, reference, tmp_path):
     rows = random_docs(4)
     out = f"file://{tmp_path}/shards"
-    got = shards.materialise_order(frame(spark, rows), VOCAB, out, length=32, per_shard=20).toPandas()
-    assert sorted(got.slot) == list(range(len(got))) and len(glob.glob(f"{tmp_path}/shards/shard-*")) == -(-len(got) // 20) and not glob.glob(f"{tmp_path}/shards/_*")
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards/_00000000-left-by-a-lost-task").write_bytes(b"x")
+    got = shards.materialise_order(frame(spark, rows).repartition(3), VOCAB, out, length=32, per_shard=20).toPandas()
+    n = got.slot.max() + 1
+    assert sorted(set(got.slot)) == list(range(n)) and len(glob.glob(f"{tmp_path}/shards/shard-*")) == -(-n // 20) and not glob.glob(f"{tmp_path}/shards/_*")
     every = shards.read_slots(out, 0, 10**6)
-    assert (shards.read_slots(out, 17, 30) == every[17:47]).all() and len(shards.read_slots(out, len(got), 5)) == 0
-    text = dict(rows)
+    assert len(every) == n and (shards.read_slots(out, 17, 30) == every[17:47]).all() and len(shards.read_slots(out, n, 5)) == 0
+    ids = {i: reference.encode(t or "", add_special_tokens=False).ids + [50256] for i, t in rows}
+    assert sum(got.n_ids) == sum(len(ids[i]) for i, _ in rows) and n < sum(got.n_ids) / 32 + 4  # a padded sequence a split at most
+    assert sorted(got[got.piece == 0].doc_id) == sorted(i for i, _ in rows)
+    flat = {x: open(f"{tmp_path}/shards/shard-{x:08d}.bin", "rb").read() for x in set(got.shard)}
     for r in got.itertuples():
-        ids = reference.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [50256]
-        assert every[r.slot][: r.n_ids].tolist() == ids[r.piece * 32 : r.piece * 32 + r.n_ids] and zlib.crc32(every[r.slot].tobytes()) == r.crc32
-        assert r.shard == r.slot // 20 and r.byte_offset == r.slot % 20 * 64
+        part = flat[r.shard][r.byte_offset : r.byte_offset + 2 * r.n_ids]
+        assert r.shard == r.slot // 20 and r.byte_offset // 64 == r.slot % 20 and zlib.crc32(part) == r.crc32
+        assert np.frombuffer(part, dtype="<u2").tolist() == ids[r.doc_id][r.start : r.start + r.n_ids]
+    starts = got.sort_values(["doc_id", "piece"]).groupby(["doc_id", "piece"]).start.nunique()
+    assert (starts >= 1).all()
     empty = f"file://{tmp_path}/empty"
     assert shards.materialise_order(frame(spark, []), VOCAB, empty).count() == 0 and len(shards.read_slots(empty, 0, 3)) == 0
 
 
+def test_shards_without_a_manifest_are_not_read(spark, tmp_path):
+    out = f"file://{tmp_path}/torn"
+    shards.materialise_order(frame(spark, [(1, "a b")]), VOCAB, out, length=32)
+    with pytest.raises(Exception, match="fit"):
+        shards.materialise_order(frame(spark, [(1, "a b")]), VOCAB, out, length=32, end=70_000).count()
+    (tmp_path / "torn/manifest.json").unlink(missing_ok=True)
+    with pytest.raises(FileNotFoundError):
+        shards.read_slots(out, 0, 1)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
 def test_permutation(n):
     a, b = (shards.permute(np.arange(n), n, key) for key in (1, 2))
