@@ -10,7 +10,10 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _U = np.uint64
@@ -45,11 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, zstd: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder (by zstd of a level, if one is given) and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec) if codec else df.write
+    writer = df.write if zstd is None else df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(zstd))
     writer.parquet(path)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -94,6 +97,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever signs it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: StructType | None = None) -> DataFrame:
+    """mapInArrow over all columns, by place, whatever their names are; run gives them back, with more at the end."""
+    schema = StructType([StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate([*df.schema.fields, *(more.fields if more else ())])])
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *(more.names if more else ()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, materialise, mix, partitions, prepare, word_hashes
+from .common import column, grams, materialise, mix, partitions, prepare, word_hashes
 from .components import components
 
 #: Points of an anchor that later ones are compared with in the first round; what comes beyond is compared with these and with its own block of as many.
@@ -250,6 +250,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """
     groups = near_copy_groups(docs, shingle, similarity)
     gone = materialise(groups.where("component_id <> doc_id").select("doc_id"), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*map(column, docs.columns))
     unique = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     return kept if unique else kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, mix, prepare, word_hashes
+from .common import grams, map_rows, mix, prepare, word_hashes
 
 #: Labelled rows that the model is fitted on at most; those with the smallest hash of their doc_id.
 MAX_TRAIN = 6000
@@ -237,4 +237,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mod
         for batch in batches:
             yield batch.filter(pa.array([model.score(features(t.as_py())) >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -1,21 +1,22 @@
 """Line dedup by log templates.
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the leading
-tokens. At a leaf, lines that agree in enough tokens are one template, whose
-other fields are variable; tokens with digits or at signs are variable from the
-start. A template recurs if enough documents hold it in different surroundings;
-lines of recurring templates are dropped everywhere.
-
-The surroundings of a line are min-hashes of the document's other lines. What
-recurs with its surroundings is a copied document, not a template, and is left
-to document dedup: documents whose surroundings agree in SAME of SLOTS min-hashes
-count as one, however many they are and whatever part of them is boilerplate below
-about four fifths. Only as many different surroundings as are asked for are kept.
-
-Passes over the documents: count surroundings by leaf; parse the lines of leaves
-that can hold a recurring template; drop lines. Each batch sums its own rows
-before they are shuffled, and only the distinct lines of a leaf meet in one task,
-so a very common line is one row there.
+tokens that aren't variable, with their places. At a leaf, lines that agree in
+enough tokens are one template, whose other fields are variable; tokens with digits
+or at signs are variable from the start. A template that enough documents hold
+recurs; its lines are dropped everywhere. Equal texts count as one document.
+
+With ``apart``, documents count only if their other lines differ, too: what recurs
+with its surroundings is then a copied document, which is left to document dedup.
+The surroundings of a line are min-hashes of the document's other lines. Documents
+whose surroundings agree in SAME of SLOTS min-hashes count as one, however many they
+are and whatever part of them is boilerplate below about four fifths. Only as many
+different surroundings as are asked for are kept.
+
+Passes over the documents: count documents by leaf; parse the lines of leaves that
+can hold a recurring template; drop lines. Each batch sums its own rows before they
+are shuffled, and only the distinct lines of a leaf meet in one task, so a very
+common line is one row there.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import grams, located_words, materialise, mix, partitions, prepare, unused
+from .common import column, grams, located_words, map_rows, materialise, mix, partitions, prepare, unused
 
 #: Leading tokens of the tree, and tokens that a line needs at least.
-DEPTH, TOKENS = 3, 4
+DEPTH, TOKENS = 3, 1
 #: Leaves or lines that are sent to all tasks; more of them are joined instead.
 SENT = 1_000_000
 #: Min-hashes of a line's surroundings, a byte of each, and how many agree in copies: 25.6 are expected at a similarity of 0.8, 19 where shared lines make up three quarters.
@@ -52,36 +54,21 @@ def mask(line: str) -> str:
 
 
 def parse(line: str, depth: int, tokens: int) -> tuple[int, int, str] | None:
-    """The leaf, the hash and the masked text of a line; None if it has too few tokens."""
+    """The leaf, the hash and the masked text of a line; None if it has too few tokens, or variable ones only."""
     masked = mask(line)
-    n = masked.count(" ") + 1
-    if n < tokens:
+    every = masked.split(" ")
+    if not masked or len(every) < tokens:
         return None
-    head = " ".join([str(n), *masked.split(" ", depth)[:depth]])
-    return _hash(head), _hash(masked), masked
+    lead = [(i, x) for i, x in enumerate(every) if x != VARIABLE][:depth] if VARIABLE in masked else list(enumerate(every[:depth]))
+    if not lead:
+        return None
+    return _hash(f"{len(every)} {lead}"), _hash(masked), masked
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def surroundings(text: str) -> np.ndarray:
-    """For each line of a text, the smallest hash of three words within another line; the largest long if there is none."""
-    raw = text.encode("utf-8", "surrogatepass")
-    breaks = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
-    places, words = located_words(raw)
-    least = np.full(len(breaks) + 3, np.iinfo(np.int64).max)
-    if len(words) > 2:
-        line = np.searchsorted(breaks, places)
-        inside = line[2:] == line[:-2]
-        if inside.any():
-            found, of = (mix(grams(words, 3)) >> np.uint64(1)).astype(np.int64)[inside], line[:-2][inside]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            least[of[first] + 1] = np.minimum.reduceat(found, first)
-    before, after = np.minimum.accumulate(least), np.minimum.accumulate(least[::-1])[::-1]
-    return np.minimum(before[:-2], after[2:])
-
-
 def sketches(text: str) -> np.ndarray:
     """For each line of a text, a byte of each of SLOTS min-hashes of three words within another line."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -111,17 +98,25 @@ def different(rows: np.ndarray, most: int, known: np.ndarray) -> np.ndarray:
     return np.array(taken, dtype=np.uint8).reshape(-1, SLOTS)
 
 
-def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, leaves: np.ndarray | None, texts: bool) -> Iterator[pa.RecordBatch]:
-    """Documents by leaf (and line) and surroundings, summed within a batch; of the leaves given, if any are."""
+def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, apart: bool, leaves: np.ndarray | None, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Documents by leaf and what tells them apart, summed within a batch; or by line, too, and each line's text once, of the leaves given, if any are."""
     wanted = None if leaves is None else set(leaves.tolist())
     for batch in batches:
         total: Counter[tuple] = Counter()
         for t in batch.column("text"):
             text = t.as_py() or ""
             parsed = [(i, p) for i, line in enumerate(text.split("\n")) if (p := parse(line, depth, tokens)) and (wanted is None or p[0] in wanted)]
-            if parsed:
-                around = sketches(text)
-                total.update({(*p, around[i].tobytes()) if texts else (p[0], xxhash.xxh64_intdigest(around[i].tobytes()) - (1 << 63)) for i, p in parsed})
+            if not parsed:
+                continue
+            if apart:
+                around = [x.tobytes() for x in sketches(text)]
+            else:
+                around = [xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass"))] * (parsed[-1][0] + 1)
+            if texts:
+                total.update({(*p[:2], None, around[i]) for i, p in parsed})
+                total.update({(*p, None) for _, p in parsed})
+            else:
+                total.update({(p[0], xxhash.xxh64_intdigest(around[i]) - (1 << 63)) for i, p in parsed})
         columns = list(zip(*total)) if total else [[]] * (4 if texts else 2)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary()) if texts else (pa.int64(), pa.int64())
         names = ["leaf", "line", "masked", "around"] if texts else ["leaf", "around"]
@@ -177,18 +172,18 @@ class Leaf:
         return name
 
 
-def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int = DEPTH, tokens: int = TOKENS, apart: bool = False) -> DataFrame:
     """line (hash of a masked line), template and n_docs of the lines of recurring templates of docs (text)."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = docs.select("text")
-    by_leaf = texts.mapInArrow(lambda b: _sums(b, depth, tokens, None, False), "leaf long, around long, docs long")
+    by_leaf = texts.mapInArrow(lambda b: _sums(b, depth, tokens, apart, None, False), "leaf long, around long, docs long")
     leaves = materialise(by_leaf.groupBy("leaf", "around").agg(F.sum("docs").alias("docs")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     few = np.sort(leaves.toArrow().column("leaf").to_numpy()) if leaves.count() <= SENT else None
-    lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, few, True), "leaf long, line long, masked string, around binary, docs long")
+    lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, apart, few, True), "leaf long, line long, masked string, around binary, docs long")
     if few is None:
         lines = lines.join(leaves, "leaf", "left_semi")
-    summed = materialise(lines.groupBy("leaf", "line", "masked", "around").agg(F.sum("docs").alias("docs")), "lines")
+    summed = materialise(lines.groupBy("leaf", "line", "around").agg(F.max("masked").alias("masked"), F.sum("docs").alias("docs")), "lines")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, now = None, Leaf(similar)
@@ -200,10 +195,13 @@ def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int =
                 out.append(now.template(masked))
             yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("line"), pa.array(out, pa.int64())], names=["leaf", "line", "template"])
 
-    distinct = summed.select("leaf", "line", "masked").distinct().repartition(n, "leaf").sortWithinPartitions("leaf", "masked")
+    distinct = summed.where("around IS NULL").select("leaf", "line", "masked").repartition(n, "leaf").sortWithinPartitions("leaf", "masked")
     grown = materialise(distinct.mapInArrow(grow, "leaf long, line long, template long"), "templates")
-    counted = materialise(summed.select("leaf", "line", "around", "docs").join(grown, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs")), "counted")
+    counted = materialise(summed.where("around IS NOT NULL").select("leaf", "line", "around", "docs").join(grown, ["leaf", "line"]).groupBy("leaf", "template", "around").agg(F.sum("docs").alias("docs")), "counted")
     held = counted.groupBy("leaf", "template").agg(F.count("*").alias("places"), F.sum("docs").alias("n_docs")).where(F.col("places") >= min_docs)
+    named = grown.select("leaf", "line", "template")
+    if not apart:
+        return named.join(held, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Different surroundings of a template, min_docs at most; rows come sorted by leaf and template."""
@@ -232,40 +230,41 @@ def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int =
     for by in (["leaf", "template", F.substring("around", 1, 1)], ["leaf", "template"]):
         some = some.repartition(n, *by).sortWithinPartitions(*order).mapInArrow(spread, schema)
     recurring = some.groupBy("leaf", "template").count().where(F.col("count") >= min_docs).join(held, ["leaf", "template"]).select("leaf", "template", "n_docs")
-    return grown.join(recurring, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
+    return named.join(recurring, ["leaf", "template"]).select("line", "template", "n_docs").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, similar: float = 0.7, depth: int = DEPTH, tokens: int = TOKENS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, similar: float = 0.7, depth: int = DEPTH, tokens: int = TOKENS, apart: bool = False) -> DataFrame:
     """The rows of docs (text and any other columns) without the lines of recurring templates.
 
     ``text`` keeps its other lines, joined by newlines; n_lines and n_removed are
-    added. A template recurs if at least min_docs documents hold it in different
-    surroundings, however many copies of them there are; lines agree if the share ``similar`` of their tokens is equal. Lines with fewer
-    tokens than ``tokens`` are never dropped.
+    added. A template recurs if at least min_docs different texts hold it, with
+    ``apart`` only those that hold it in different surroundings; lines agree if the
+    share ``similar`` of their tokens is equal, so lines of three tokens or fewer only
+    if all are. Blank lines, lines of variable fields only and lines with fewer tokens
+    than ``tokens`` are never dropped.
 
     A null text stays null with no lines; an empty one has one empty line. Repeated
-    rows count as documents, but with the same surroundings. Columns n_lines and
-    n_removed of docs are replaced. An empty table gives no rows.
+    rows count as one document. Columns n_lines and n_removed of docs are replaced.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("n_lines", "n_removed")
-    found = materialise(recurring_lines(docs, min_docs, similar, depth, tokens).select("line").distinct(), "dropped")
+    found = materialise(recurring_lines(docs, min_docs, similar, depth, tokens, apart).select("line").distinct(), "dropped")
     at = docs.columns.index("text")
     if found.count() <= SENT:
         dropped = np.sort(found.toArrow().column("line").to_numpy())
-        return docs.mapInArrow(lambda b: _cut(b, at, dropped, depth, tokens), _with_counts(docs))
+        return map_rows(docs, lambda b: _cut(b, at, dropped, depth, tokens), _COUNTS)
     # too many lines to send: each row gets the few of them that it holds, by a join on the lines
     row, gone = unused(docs, "row"), unused(docs, "dropped")
     keyed = docs.withColumn(row, F.xxhash64("text"))
     own = keyed.select(F.col(row).alias("row"), "text").mapInArrow(lambda b: _line_rows(b, depth, tokens), "row long, line long")
     lists = own.distinct().join(found, "line").groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone))
-    joined = keyed.join(lists, row, "left").select(*docs.columns, gone)
-    return joined.mapInArrow(lambda b: _cut(b, at, None, depth, tokens), _with_counts(docs))
+    joined = keyed.join(lists, row, "left").select(*map(column, docs.columns), gone)
+    return map_rows(joined, lambda b: _cut(b, at, None, depth, tokens), _COUNTS).drop(gone)
 
 
-def _with_counts(docs: DataFrame) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_removed long"])
+_COUNTS = StructType().add("n_lines", LongType()).add("n_removed", LongType())
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], depth: int, tokens: int) -> Iterator[pa.RecordBatch]:
@@ -286,6 +285,6 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, dropped: np.ndarray | None,
             texts.append("\n".join(kept) if t.is_valid else None)
             total.append(len(every))
             removed.append(len(every) - len(kept))
-        n = batch.num_columns - (common is None)
+        n = batch.num_columns
         columns = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(n)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:n], "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[f"_{i}" for i in range(n + 2)])
