@@ -137,7 +137,7 @@ def materialise_order(docs: DataFrame, vocab: str, out: str, length: int = 1024,
             yield from rows(found)
         yield from rows([], last=True)
 
-    sequences = materialise(docs.select("doc_id", "text").mapInArrow(tokenise, f"split long, number long, ids binary, {_PARTS}"), "sequences", "zstd")
+    sequences = materialise(docs.select("doc_id", "text").mapInArrow(tokenise, f"split long, number long, ids binary, {_PARTS}"), "sequences", zstd=9)
     counts = sequences.groupBy("split").agg((F.max("number") + 1).alias("n")).orderBy("split").toArrow()  # a row an input split
     splits, sizes = counts.column("split").to_numpy(), counts.column("n").to_numpy()
     first, total = np.cumsum(sizes) - sizes, int(sizes.sum())
