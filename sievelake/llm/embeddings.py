@@ -1,7 +1,8 @@
 """Near-duplicate vectors by product quantisation.
 
 Coarse inverted lists and the codebooks of residual subspaces are fitted on a
-bounded sample (SAMPLE); every vector is indexed. A vector is an entry of the
+bounded sample (SAMPLE); every vector is indexed. A label has lists by its own size:
+1, 4, 16 and so on, one for SHARE vectors at least. A vector is an entry of the
 list of its nearest centroid h, and a query to those lists c whose cell comes so
 near that they can hold a partner: d(x, c)**2 - d(x, h)**2 <= 2 * r * |c - h|,
 where r is the distance that the threshold allows. The left side is linear in x
@@ -12,9 +13,12 @@ In a list, table lookups give the distance of a query to each entry's code; what
 is within r plus the entry's own coding error is compared exactly. So the codes
 save work and lose nothing.
 
-Equal vectors are one entry with a count. A long list is split into sub-lists of
-a bounded size, each met by all queries, which stream past. Only link counts and
-the edges of a spanning forest leave a task, never pairs.
+Equal vectors of a label are one entry with a key of its own and a count. A long
+list is split into sub-lists of a bounded size, each met by all queries, which
+stream past; of two sub-lists of a list, the entries of one are queries to the other.
+Lists are as many as the sample can tell apart at most (a quarter of it), so beyond
+some two million different vectors of one label the work grows faster than they do.
+Only link counts and the edges of a spanning forest leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -33,12 +37,12 @@ from .components import components
 
 #: Vectors that centroids and codebooks are fitted on at most; those with the smallest hash.
 SAMPLE = 8192
-#: Entries that a task holds.
-SUBLIST = 2048
+#: Entries that a task holds at most, and components of these together.
+SUBLIST, HELD = 8192, 1 << 22
 #: Subspaces, and codewords of each.
 PARTS, WORDS = 8, 64
-#: Vectors of a label that there is a list for, and most lists. Short lists would cost more: in many dimensions a vector has to probe a share of the lists, however many there are.
-SHARE, MOST_LISTS = 1024, 1024
+#: Vectors of a label that there is a list for. Short lists would cost more: in many dimensions a vector has to probe a share of the lists, however many there are.
+SHARE = 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -66,8 +70,7 @@ class Index:
     books: np.ndarray
 
     @classmethod
-    def fit(cls, sample: np.ndarray, vectors: int) -> Index:
-        lists = int(max(1, min(MOST_LISTS, vectors // SHARE, len(sample))))
+    def fit(cls, sample: np.ndarray, lists: int) -> Index:
         centroids = k_means(sample, lists)
         rest = sample - centroids[nearest(sample, centroids)]
         parts = PARTS if sample.shape[1] % PARTS == 0 else 1
@@ -109,7 +112,7 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-_ENTRY = "label long, list long, entry boolean, node long, n long, raw binary"
+_ENTRY = "label long, scale int, list long, entry boolean, key long, node long, n long, raw binary"
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE) -> DataFrame:
@@ -134,29 +137,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
 
     packed = materialise(vectors.select("vec_id", "embedding", "label").mapInArrow(pack, "vec_id long, label long, raw binary"), "vectors")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("raw").isNotNull()
-    entries = materialise(packed.where(usable).groupBy("label", "raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "entries")
-    distinct = entries.count()
+    grouped = packed.where(usable).groupBy("label", "raw").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    entries = materialise(grouped.withColumn("key", F.monotonically_increasing_id()), "entries")
+    sizes = entries.groupBy("label").agg(F.count("*").alias("size"))
     dims = entries.groupBy(F.octet_length("raw").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    index = None
+    indexes: list[Index] = []
     if dims is not None:
-        few = entries.where(F.octet_length("raw") == dims["bytes"]).orderBy(F.xxhash64("raw"), "node").limit(sample).select("raw").toArrow()
-        index = Index.fit(_unit([x.as_py() for x in few.column("raw")], kind), distinct // max(1, entries.select("label").distinct().count()))
+        few = entries.where(F.octet_length("raw") == dims["bytes"]).orderBy(F.xxhash64("raw"), "key").limit(sample).select("raw").toArrow()
+        units, largest = _unit([x.as_py() for x in few.column("raw")], kind), sizes.agg(F.max("size")).first()[0]
+        while 4 ** len(indexes) <= max(1, min(largest // SHARE, len(units) // 4)):
+            indexes.append(Index.fit(units, 4 ** len(indexes)))
+    scale = F.least(F.lit(len(indexes) - 1), F.expr(f"cast(floor(log(4.0D, greatest(1.0D, size / {SHARE})) + 1e-9D) AS int)"))
     size = np.dtype(kind).itemsize
     width = 0 if dims is None else dims["bytes"] // size
     n = partitions(spark)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector as an entry of its list and as a query to those it has to probe; of odd lengths, as entries of a list for that length."""
-        c = index.centroids
-        gap = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 0))
+        gaps = [np.sqrt(np.maximum((x.centroids**2).sum(1)[:, None] + (x.centroids**2).sum(1)[None, :] - 2 * x.centroids @ x.centroids.T, 0)) for x in indexes]
         for batch in batches:
             raw = batch.column("raw").to_pylist()
-            label, node, count = (batch.column(k).to_numpy() for k in ("label", "node", "n"))
+            label, key, node, count, scales = (batch.column(k).to_numpy() for k in ("label", "key", "node", "n", "scale"))
             dims = np.array([len(r) // size for r in raw])
-            whole, odd = np.flatnonzero(dims == width), np.flatnonzero(dims != width)
+            odd = np.flatnonzero(dims != width)
             row, to, entry = [odd], [-dims[odd]], [np.ones(len(odd), dtype=bool)]
-            for at in range(0, len(whole), 1024):
-                some = whole[at : at + 1024]
+            blocks = [(k, whole[at : at + 1024]) for k in range(len(indexes)) for whole in [np.flatnonzero((dims == width) & (scales == k))] for at in range(0, len(whole), 1024)]
+            for k, some in blocks:
+                c, gap = indexes[k].centroids, gaps[k]
                 x = _unit([raw[i] for i in some], kind)
                 d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
                 home = d.argmin(axis=1)
@@ -168,11 +175,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
             i, to, entry = np.concatenate(row), np.concatenate(to), np.concatenate(entry)
             for at in range(0, len(i), 20_000):
                 j = i[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(label[j]), pa.array(to[at : at + 20_000], pa.int64()), pa.array(entry[at : at + 20_000]), pa.array(node[j]), pa.array(count[j]), pa.array([raw[k] for k in j], pa.binary())], names=["label", "list", "entry", "node", "n", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(label[j]), pa.array(scales[j]), pa.array(to[at : at + 20_000], pa.int64()), pa.array(entry[at : at + 20_000]), pa.array(key[j]), pa.array(node[j]), pa.array(count[j]), pa.array([raw[k] for k in j], pa.binary())], names=["label", "scale", "list", "entry", "key", "node", "n", "raw"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by list and sub-list, entries first: these are held, queries stream past."""
-        key, held, links, a, b = None, None, {}, [], []
+        place, held, links, a, b = None, None, {}, [], []
 
         def flush() -> pa.RecordBatch:
             ids = list(links)
@@ -184,17 +191,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
             return out
 
         for batch in batches:
-            label, cell, sub, entry, node, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("label", "list", "sub", "entry", "node", "n"))
+            label, scales, cell, sub, entry, key, node, count = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("label", "scale", "list", "sub", "entry", "key", "node", "n"))
             raw = batch.column("raw")
             cut = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (cell[1:] != cell[:-1]) | (sub[1:] != sub[:-1]) | (entry[1:] != entry[:-1])))) if len(label) else np.zeros(0, int)
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(label)]):
-                if (new := (label[s], cell[s], sub[s])) != key:
-                    key, held = new, None
+                if (new := (label[s], cell[s], sub[s])) != place:
+                    place, held = new, None
                 if not entry[s] and held is None:
                     continue
                 for at in range(s, e, 256):
                     to = min(e, at + 256)
-                    some = _Entries(index, width, int(cell[s]), node[at:to], count[at:to], _unit(raw.slice(at, to - at).to_pylist(), kind))
+                    some = _Entries(indexes[scales[s]], width, int(cell[s]), key[at:to], node[at:to], count[at:to], _unit(raw.slice(at, to - at).to_pylist(), kind))
                     if held is not None:
                         held.meet(some, radius, threshold, links, a, b)
                     if entry[s]:
@@ -204,28 +211,30 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
                     yield flush()
         yield flush()
 
-    if index is None:
-        found = entries.select(F.col("node").alias("u"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("v"))
+    if not indexes:
+        found = entries.select(F.col("key").alias("u"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("v"))
     else:
-        placed = materialise(entries.mapInArrow(place, _ENTRY), "lists")
-        subs = placed.where("entry").groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(SUBLIST)).cast("int").alias("subs"))
-        dealt = placed.join(subs, ["label", "list"]).withColumn("own", F.when(F.col("entry"), F.pmod(F.xxhash64("node", "raw"), F.col("subs")).cast("int")).otherwise(-1))
+        sized = entries.join(sizes, "label").select("label", scale.alias("scale"), "key", "node", "n", "raw")
+        placed = materialise(sized.mapInArrow(place, _ENTRY), "lists")
+        most = max(1, min(SUBLIST, HELD // max(1, width)))
+        subs = placed.where("entry").groupBy("label", "list").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("subs"))
+        dealt = placed.join(subs, ["label", "list"]).withColumn("own", F.when(F.col("entry"), F.pmod(F.xxhash64("key"), F.col("subs")).cast("int")).otherwise(-1))
         spread = dealt.withColumn("sub", F.explode(F.expr("sequence(greatest(own, 0), subs - 1)"))).withColumn("entry", F.col("sub") == F.col("own")).drop("own", "subs")
         sorted_ = spread.repartition(n, "label", "list", "sub").sortWithinPartitions("label", "list", "sub", F.desc("entry"))
         found = materialise(sorted_.mapInArrow(compare, "u long, n long, v long"), "found")
-    counts = found.where("n IS NOT NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("partners"))
+    counts = found.where("n IS NOT NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("partners"))
     roots = components(found.where("v IS NOT NULL").select("u", "v"))
-    classes = entries.withColumnRenamed("n", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    classes = entries.withColumnRenamed("n", "copies").join(counts, "key", "left").join(roots, "node", "left")
     known = packed.where(usable).join(classes, ["label", "raw"]).select("vec_id", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     others = packed.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.unionByName(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 class _Entries:
-    """Vectors of one list: ids, counts, unit vectors, and codes with their errors."""
+    """Vectors of one list: keys, ids, counts, unit vectors, and codes with their errors."""
 
-    def __init__(self, index: Index, width: int, cell: int, node: np.ndarray, count: np.ndarray, unit: np.ndarray) -> None:
-        self.index, self.node, self.count, self.unit = index, node, count, unit
+    def __init__(self, index: Index, width: int, cell: int, key: np.ndarray, node: np.ndarray, count: np.ndarray, unit: np.ndarray) -> None:
+        self.index, self.key, self.node, self.count, self.unit = index, key, node, count, unit
         self.coded = cell >= 0 and unit.shape[1] == width
         self.label = np.arange(len(node))
         if self.coded:
@@ -234,7 +243,7 @@ class _Entries:
 
     def add(self, other: _Entries) -> _Entries:
         self.label = np.concatenate([self.label, other.label + len(self.node)])
-        for k in ("node", "count", "unit", *(("rest", "codes", "error") if self.coded else ())):
+        for k in ("key", "node", "count", "unit", *(("rest", "codes", "error") if self.coded else ())):
             setattr(self, k, np.concatenate([getattr(self, k), getattr(other, k)]))
         return self
 
@@ -251,7 +260,7 @@ class _Entries:
             i, j = q[at : at + (1 << 16)], e[at : at + (1 << 16)]
             hit = np.einsum("ij,ij->i", queries.unit[i], self.unit[j]) >= threshold
             i, j = i[hit], j[hit]
-            for ids, n in ((queries.node[i], self.count[j]), (self.node[j], queries.count[i])):
+            for ids, n in ((queries.key[i], self.count[j]), (self.key[j], queries.count[i])):
                 names, which = np.unique(ids, return_inverse=True)
                 for name, total in zip(names.tolist(), np.bincount(which, weights=n).astype(np.int64).tolist()):
                     links[name] = links.get(name, 0) + total
