@@ -12,15 +12,15 @@ side takes the whole threshold and some 150 anchors for the same pairs.)
 
 Equal fingerprints are one point. The points of an anchor are compared in
 blocks, and only the edges of a spanning forest leave the task. Anchors with more
-points than a task may hold are taken apart further: each point goes to every
-word within half the threshold of it, and points that share such a word link
-outright, which needs no comparison at all. Then distributed label propagation
-over the written edges finds the components.
+points than a task may hold are taken apart further: each point goes to every word
+within half the threshold of it, rounded up, and all points of a word link to one
+that is within half, rounded down, which needs no comparison at all. Then
+distributed label propagation over the written edges finds the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -48,16 +48,26 @@ def fingerprint(text: bytes, shingle: int) -> int:
         return 0
     if n <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    counts, of = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n - shingle + 1, 1 << 16):
-        some = words[at : at + (1 << 16) + shingle - 1]
-        joined = b" ".join(some)
-        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(some) - shingle + 1].tolist()
-        hashes = np.array([of(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n - shingle + 1, bitorder="little")
-    return int(bits.view("<u8")[0])
+    of = xxhash.xxh64_intdigest
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, n - shingle + 1, 1 << 16):
+            some = words[at : at + (1 << 16) + shingle - 1]
+            joined = b" ".join(some)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            starts = np.concatenate(([0], ends[:-1]))[: len(some) - shingle + 1].tolist()
+            yield np.array([of(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype="<u8")
+
+    return majority(hashes())
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes (64 bits), which come in parts."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
+        counts += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -148,12 +158,14 @@ def edges(points: DataFrame, threshold: int, hold: int) -> DataFrame:
             yield out(*link(np.concatenate(held)), False)
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.array([sum(1 << b for b in bits) for k in range(threshold // 2 + 1) for bits in combinations(range(64), k)], dtype=np.uint64)
+        masks = np.array([sum(1 << b for b in bits) for k in range(-(-threshold // 2) + 1) for bits in combinations(range(64), k)], dtype=np.uint64)
+        close = np.bitwise_count(masks) <= threshold // 2
+        step = max(1, (1 << 20) // len(masks))
         for batch in batches:
             whole = batch.column("fp").to_numpy().view(np.uint64)
-            for at in range(0, len(whole), 256):
-                fp = whole[at : at + 256]
-                yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ masks[None, :]).ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], names=["word", "fp"])
+            for at in range(0, len(whole), step):
+                fp = whole[at : at + step]
+                yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ masks[None, :]).ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64)), pa.array(np.tile(close, len(fp)))], names=["word", "fp", "close"])
 
     n = partitions(spark)
     met = points.mapInArrow(replicate, "anchor long, fp long").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
@@ -161,10 +173,8 @@ def edges(points: DataFrame, threshold: int, hold: int) -> DataFrame:
     direct = found.where("not large").select("a", "b")
     if found.where("large").isEmpty():
         return direct
-    if threshold % 2:
-        raise ValueError("groups beyond the bound need an even threshold")
-    near = found.where("large").select(F.col("a").alias("fp")).distinct().mapInArrow(surround, "word long, fp long")
-    least = near.groupBy("word").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("word", "a")
+    near = found.where("large").select(F.col("a").alias("fp")).distinct().mapInArrow(surround, "word long, fp long, close boolean")
+    least = near.groupBy("word").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("a"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("a IS NOT NULL AND low < high").select("word", "a")
     return direct.unionByName(near.join(least, "word").where("fp <> a").select("a", F.col("fp").alias("b")).distinct())
 
 
