@@ -1,19 +1,24 @@
-"""Near copies for a corpus pipeline: min-hashes of word shingles propose, the shingles decide.
-
-The MINS min-hashes of a text's distinct shingles agree with those of another text
-with the probability of their Jaccard similarity, whatever the edits are: words
-changed here and there, an end cut off, a block added or moved. Bands of BAND
-min-hashes are the anchors where texts meet: at a similarity of 0.8 two texts miss
-each other at all of them once in twenty million times. One bit of each min-hash
-makes a sketch of 128 bits, whose distance at an anchor tells candidates from chance.
-
-Candidates come in two rounds. In the first a document is linked to the nearest
-earlier one at each anchor, and links count if the sets of word shingles, compared
-whole, have the similarity asked for; that joins large groups by few links. In the
-second every pair of near sketches at an anchor that the first left in different
-components is compared, so neither a nearer candidate that failed nor the size of
-an anchor hides one. Only the shingles of documents with a link are shuffled, not
-texts: a bitmap of fixed size tells the scan which documents these are.
+"""Near copies for a corpus pipeline: fingerprints propose, the shingles decide.
+
+The SimHash operator proposes first: texts whose fingerprints of word shingles
+differ in at most BITS bits meet at the anchors of its covering code. That is most
+copies, but at a similarity of 0.8 two fingerprints differ in ten bits of 64, and
+in far more where an end is cut off, which no covering code reaches at a bearable
+cost. So min-hashes propose, too: the MINS min-hashes of a text's distinct shingles
+agree with those of another text with the probability of their Jaccard similarity,
+whatever the edits are. Bands of BAND min-hashes are the anchors where texts meet: at a
+similarity of 0.8 two texts miss each other at all of them once in twenty million
+times. One bit of each min-hash makes a sketch of 128 bits, whose distance at an
+anchor tells candidates from chance.
+
+Candidates come in two rounds. In the first come the links of SimHash, and at each
+band a document's link to the nearest earlier one; links count if the sets of word
+shingles, compared whole, have the similarity asked for. That joins large groups by
+few links. In the second every pair of near sketches at a band that the first left in
+different components is compared, so neither a nearer candidate that failed nor the
+size of a band hides one. Bands with more points than a task may hold are taken apart:
+blocks of points, and a task for each two blocks. Only the shingles of documents with
+a link are shuffled, not texts: a bitmap tells the scan which documents these are.
 """
 
 from __future__ import annotations
@@ -25,20 +30,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grams, materialise, mix, partitions, prepare, word_hashes
+from .common import column, discard, grams, materialise, mix, partitions, prepare, word_hashes
 from .components import components
+from .simhash import edges, majority
 
-#: Points of an anchor that later ones are compared with in the first round; what comes beyond is compared with these and with its own block of as many.
+#: Points of a band that a task holds. The first round compares later points with these and with their own block of as many, the second all.
 HOLD = 1 << 13
+#: Bits in which SimHash fingerprints of candidates differ at most.
+BITS = 4
 #: Min-hashes of a text, and of a band.
 MINS, BAND = 128, 4
 #: Bits of 128 in which sketches of candidates may differ: 12.8 are expected at the similarity of 0.8, with a deviation of 3.4.
 NEAR = 32
-#: Bits of the bitmap that tells which documents to take shingles of; where it errs, it takes too many.
-FILTER_BITS = 24
+#: The bitmap that tells which documents to take shingles of has 2**20 to 2**30 bits, sixteen a link; where it errs, it takes too many.
+FILTER_BITS = (20, 30)
 _FACTORS, _TERMS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(MINS + 1, 2 * MINS + 1, dtype=np.uint64))
 
 
+def fingerprint_of(text: str | None, shingle: int) -> int:
+    """SimHash of all word shingles of a text, repeats included; of the whole, if it has fewer words."""
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    return majority([grams(words, min(shingle, max(1, len(words))))])
+
+
 def sketch_of(shingles: np.ndarray) -> tuple[int, int, bytes]:
     """Two words of a sketch and the anchors (64 bits each) of a set of shingles; no anchors if it is empty."""
     if not len(shingles):
@@ -65,8 +79,8 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique((grams(words, min(shingle, max(1, len(words)))) >> np.uint64(32)).astype(np.uint32))
 
 
-def membership(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the hashes of doc_id, of a fixed size: it says no only to ids that aren't there."""
+def membership(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits for the hashes of doc_id: it says no only to ids that aren't there."""
     slots = ids.select(F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("slot"))
     words = slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("word")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
@@ -91,21 +105,17 @@ def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(me), np.concatenate(other)) if me else (none, none)
 
 
-def _across(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of all pairs of near points (node, sketch, component) in different components, the larger node first, in blocks."""
-    points = points[np.argsort(points[:, 3], kind="stable")]
-    a, b = points[:, 1].view(np.uint64), points[:, 2].view(np.uint64)
-    start = np.searchsorted(points[:, 3], points[:, 3])
-    at = int(np.searchsorted(start, 1))
-    while at < len(points):
-        to = min(len(points), at + max(1, (1 << 21) // int(start[at])))
-        end = int(start[to - 1])
-        d = np.bitwise_count(a[at:to, None] ^ a[None, :end]).astype(np.int16) + np.bitwise_count(b[at:to, None] ^ b[None, :end])
-        d[np.arange(end)[None, :] >= start[at:to, None]] = 999
-        me, other = np.nonzero(d <= NEAR)
-        p, q = points[at + me, 0], points[other, 0]
-        yield np.maximum(p, q), np.minimum(p, q)
-        at = to
+def _across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all near pairs of a left and a right point (node, sketch, component) in different components, the larger node first, in blocks."""
+    a, b = right[:, 1].view(np.uint64), right[:, 2].view(np.uint64)
+    step = max(1, (1 << 21) // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x, y = (left[at : at + step, k].view(np.uint64)[:, None] for k in (1, 2))
+        d = np.bitwise_count(x ^ a[None, :]).astype(np.int16) + np.bitwise_count(y ^ b[None, :])
+        me, other = np.nonzero((d <= NEAR) & (left[at : at + step, 3][:, None] != right[None, :, 3]))
+        p, q = left[at + me, 0], right[other, 0]
+        new = p > q if left is right else p != q
+        yield np.maximum(p, q)[new], np.minimum(p, q)[new]
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hold: int = HOLD) -> DataFrame:
@@ -124,12 +134,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for batch in batches:
             found = [sketch_of(shingle_set(t.as_py(), shingle)) for t in batch.column("text")]
             x, y, at = zip(*found) if found else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(at, pa.binary())], names=["doc_id", "same", "x", "y", "anchors"])
+            fp = np.array([fingerprint_of(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(fp), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(at, pa.binary())], names=["doc_id", "same", "fp", "x", "y", "anchors"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("same", F.xxhash64("text"))
-    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, x long, y long, anchors binary"), "sketches")
-    points = materialise(of.groupBy("same", "x", "y").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors")), "points")
+    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, fp long, x long, y long, anchors binary"), "sketches")
+    points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors")), "points")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "x", "y", "component"]
@@ -177,12 +188,20 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def propose_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All near pairs of an anchor in different components; rows come sorted by anchor."""
-        anchor, block = None, []
+        """All near pairs of an anchor in different components, and the points themselves of one with too many; rows come sorted by anchor."""
+        anchor, block, large = None, [], False
+
+        def out(a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+            columns = [pa.nulls(len(a), pa.int64())] * 4 if rows is None else [pa.array(np.full(len(a), anchor)), *(pa.array(rows[:, k]) for k in (1, 2, 3))]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *columns], names=["a", "b", "anchor", "x", "y", "component"])
 
         def settle() -> Iterator[pa.RecordBatch]:
-            for a, b in _across(np.concatenate(block)) if block else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            points = np.concatenate(block) if block else np.zeros((0, 4), dtype=np.int64)
+            if large:
+                yield out(points[:, 0], points[:, 0], points)
+            elif len(points):
+                for a, b in _across(points, points):
+                    yield out(a, b)
 
         for batch in batches:
             key = batch.column("anchor").to_numpy()
@@ -196,8 +215,33 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             for s, e in zip(start[several].tolist(), end[several].tolist()):
                 if key[s] != anchor:
                     yield from settle()
-                    anchor, block = key[s], []
+                    anchor, block, large = key[s], [], False
                 block.append(rows[s:e])
+                if sum(map(len, block)) > hold:
+                    large = True
+                    yield from settle()
+                    block = []
+        yield from settle()
+
+    def propose_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The near pairs between two blocks of an anchor, or within one; rows come sorted by anchor and blocks."""
+        place, sides = None, {}
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if place is not None:
+                left, right = (np.concatenate(sides[k]) if k in sides else np.zeros((0, 4), dtype=np.int64) for k in place[1:])
+                for a, b in _across(left, left if place[1] == place[2] else right):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in ("anchor", "low", "high", "own")], axis=1)
+            rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+            start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, dtype=int)
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
+                if (at := tuple(keys[s, :3].tolist())) != place:
+                    yield from settle()
+                    place, sides = at, {}
+                sides.setdefault(int(keys[s, 3]), []).append(rows[s:e])
         yield from settle()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,27 +260,46 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                 keep.append(shared >= similarity * max(1, len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    slotted = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("slot"))
-
     def sure(links: DataFrame) -> DataFrame:
         """The links u, v whose shingle sets are as similar as asked for."""
         nonlocal wanted
-        wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))))
+        low, high = FILTER_BITS
+        bits = min(high, max(low, (16 * links.count()).bit_length()))
+        wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))), bits)
+        slotted = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("slot"))
         sets = materialise(slotted.mapInArrow(shingles, "node long, shingles binary"), "shingles")
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         verified = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
-        return materialise(verified.select(F.col("a").alias("u"), F.col("b").alias("v")), "sure")
+        out = materialise(verified.select(F.col("a").alias("u"), F.col("b").alias("v")), "sure")
+        discard(sets)
+        return out
+
+    def apart(rest: DataFrame) -> DataFrame:
+        """The near pairs of anchors with more points than a task may hold, by a task for each two blocks of them."""
+        subs = rest.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(hold)).cast("int").alias("subs"))
+        own = rest.select("anchor", F.col("a").alias("node"), "x", "y", "component").join(subs, "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("subs")))
+        met = own.withColumn("other", F.explode(F.expr("sequence(0L, subs - 1L)"))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+        return met.select("anchor", "low", "high", "own", "node", "x", "y", "component").repartition(n, "anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "own").mapInArrow(propose_blocks, "a long, b long")
 
     def met(labelled: DataFrame) -> DataFrame:
         return labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
 
     wanted = np.zeros(0, dtype=np.uint64)
-    nearest = materialise(met(points.withColumn("component", F.col("node"))).mapInArrow(propose, "a long, b long").where("a <> b").distinct(), "proposed")
-    copies = of.join(points, ["same", "x", "y"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    fps = materialise(points.groupBy("fp").agg(F.min("node").alias("node")), "fps")
+    ends = [fps.select(F.col("fp").alias(k), F.col("node").alias(to)) for k, to in (("a", "p"), ("b", "q"))]
+    by_bits = edges(fps.select("fp"), BITS, hold).join(ends[0], "a").join(ends[1], "b").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
+    by_bits = by_bits.unionByName(points.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
+    by_band = met(points.withColumn("component", F.col("node"))).mapInArrow(propose, "a long, b long")
+    nearest = materialise(by_bits.unionByName(by_band).where("a <> b").distinct(), "proposed")
+    copies = of.join(points, ["same", "x", "y", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = copies.unionByName(sure(nearest))
     roots = components(found)
     labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", F.coalesce("root", "node").alias("component"))
-    rest = materialise(met(labelled).mapInArrow(propose_rest, "a long, b long").where("a <> b").distinct().join(nearest, ["a", "b"], "left_anti"), "rest")
+    left = materialise(met(labelled).mapInArrow(propose_rest, "a long, b long, anchor long, x long, y long, component long"), "left")
+    large, pairs = left.where("anchor IS NOT NULL"), left.where("anchor IS NULL").select("a", "b")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(apart(large))
+    rest = materialise(pairs.where("a <> b").distinct().join(nearest, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(found.unionByName(sure(rest)))
     ids = of.select("doc_id").distinct()

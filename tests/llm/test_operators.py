@@ -259,20 +259,20 @@ def test_simhash(spark, hold):
     assert len(got) == len(rows) and all(r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == want[r.doc_id] for r in got)
 
 
-def test_simhash_links_at_exactly_four_bits(spark):
+@pytest.mark.parametrize("threshold, hold", [(4, 100), (3, 2), (5, 2), (4, 2), (3, 100)])
+def test_simhash_links_at_exactly_so_many_bits(spark, threshold, hold):
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, 30, dtype=np.uint64)
     points = []
-    for b in base.tolist():
+    for b in rng.integers(0, 2**63, 8, dtype=np.uint64).tolist():
         points.append(b)
-        for k in (2, 4, 5):
+        for k in (1, 2, threshold, threshold + 1):
             points.append(b ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)))
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in set(points)], "fp long")
-    links = simhash.edges(df, 4, 100).collect()
+    links = simhash.edges(df, threshold, hold).collect()
     u = [int(np.int64(r.fp).view(np.uint64)) for r in df.collect()]
-    want = brute_components([(p, p) for p in u], lambda a, b: (a ^ b).bit_count() <= 4)
-    joined = brute_components([(p, p) for p in u], lambda a, b, e={frozenset(int(np.int64(x).view(np.uint64)) for x in r) for r in links}: frozenset((a, b)) in e)
-    assert joined == want and simhash.simhash_groups(frame(spark, [])).count() == 0
+    want = brute_components([(p, p) for p in u], lambda a, b: (a ^ b).bit_count() <= threshold)
+    linked = {frozenset(int(np.int64(x).view(np.uint64)) for x in r[:2]) for r in links}
+    assert brute_components([(p, p) for p in u], lambda a, b: frozenset((a, b)) in linked) == want and simhash.simhash_groups(frame(spark, [])).count() == 0
 
 
 def test_near_copies(spark):
@@ -357,6 +357,13 @@ def brute_links(rows, threshold=0.98):
     return ok, n
 
 
+def test_embeddings_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.1, 0.0], [0.0, 1.0, 0.0, 0.1]
+    rows = [(5, a, 0), (5, b, 0), (7, [1.0, 0.0, 0.11, 0.0], 0), (8, [0.0, 1.0, 0.0, 0.11], 0), (9, a, 1)]
+    got = embeddings.near_vectors(spark.createDataFrame([(*r, 1, "x", "y") for r in rows], VECTORS)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False), (9, 0, 9, True)]
+
+
 @pytest.mark.parametrize("sublist", [2048, 4])
 def test_embeddings(spark, monkeypatch, sublist):
     monkeypatch.setattr(embeddings, "SHARE", 8)
@@ -366,7 +373,7 @@ def test_embeddings(spark, monkeypatch, sublist):
     for _ in range(30):
         c = rng.normal(size=16)
         for _ in range(rng.integers(1, 6)):
-            rows.append((len(rows), (c + 0.09 * rng.normal(size=16)).astype(np.float32).tolist(), int(rng.integers(2))))
+            rows.append((len(rows), (c + 0.09 * rng.normal(size=16)).astype(np.float32).tolist(), int(rng.integers(5) > 0)))
     rows += [(1000, rows[0][1], rows[0][2]), (1001, None, 0), (1002, [0.0] * 16, 0), (1003, [float("nan")] + [1.0] * 15, 0), (1004, rows[0][1], None), (1005, [1.0, None], 0), (1006, [], 1), (1007, [1.0, 2.0], 1), (1008, [2.0, 4.0], 1), (None, rows[0][1], rows[0][2]), (1009, [1e30] * 16, 1), (1010, [1e-30] * 16, 1)]
     df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], VECTORS)
     got = {r.vec_id: r for r in embeddings.near_vectors(df).collect()}
