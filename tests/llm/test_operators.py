@@ -404,8 +404,9 @@ def brute_contained(rows, items, n=5, least=0.8):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_contamination(spark, most):
+@pytest.mark.parametrize("bits", [(16, 30), (6, 6)])
+def test_contamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(contamination, "FILTER_BITS", bits)
     rng = random.Random(3)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(k))) for i, k in enumerate((1, 3, 5, 8, 20, 40, 60))] + [(7, None), (8, "!!"), (9, "Same same SAME"), (10, "W1, w2; w3 w4: w5 w6")]
     rows = random_docs(8, 20)
@@ -418,10 +419,10 @@ def test_contamination(spark, most):
                     k[rng.randrange(len(k))] = "z"
             rows.append((100 + 10 * j + drop, " ".join(["x1 x2"] + k + ["y1"] * 30).upper()))
     df, it = frame(spark, rows), spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
-    got = sorted((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contamination.contained_items(df, it, most=most).collect())
+    got = sorted((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contamination.contained_items(df, it).collect())
     assert got == brute_contained(rows, items) and len(got) > 10
     bad = {d for d, *_ in got}
-    left = contamination.decontaminate(df, it, most=most)
+    left = contamination.decontaminate(df, it)
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in rows if d not in bad) and left.columns == df.columns
     assert contamination.contained_items(df, it.where("false")).count() == 0 and contamination.decontaminate(df.where("false"), it).count() == 0
 
