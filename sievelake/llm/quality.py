@@ -90,7 +90,7 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int, smooth: f
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Minimises |w|**2 / 2 + C * sum(hinge), one dual variable at a time; rows are unit vectors of scaled indicators.
 
     The bias is the weight of a constant feature. C is shared out so that both
@@ -114,7 +114,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
                 w[rows[i]] += step * sign[i] * values[i]
                 b += step * sign[i]
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w, b
 
@@ -166,10 +166,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text and y of at most so many labelled rows, by the hash of their doc_id.
+    """doc_id, text and y of at most so many labelled documents, by the hash of their doc_id.
 
     The sampled labels are few, so they are what is sent to the documents. Null
-    labels don't count; a doc_id with several labels has their largest.
+    labels don't count; a doc_id with several labels has their largest, one with
+    several texts the first by order.
     """
     spark = docs.sparkSession
     chosen = (
@@ -180,7 +181,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most:
         .limit(most)
     )
     bounded = spark.createDataFrame(chosen.collect(), "doc_id long, y int")
-    return docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def train_fold(modulus: int, held: int) -> tuple[Column, Column]:

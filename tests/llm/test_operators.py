@@ -594,6 +594,51 @@ def test_dual_coordinate_descent_separates():
     assert ((margin > 0) == (y > 0)).all()
 
 
+def exact_dual(z, y, c):
+    """The best dual variables of the hinge loss, by trying which are at 0, at their bound, or between."""
+    from itertools import product
+
+    n, q, best = len(y), (z * y[:, None]) @ (z * y[:, None]).T, None
+    for kind in product((0, 1, 2), repeat=n):
+        a = np.where(np.array(kind) == 1, c, 0.0)
+        free = np.array(kind) == 2
+        if free.any():
+            a[free] = np.linalg.lstsq(q[np.ix_(free, free)], 1 - q[np.ix_(free, ~free)] @ a[~free], rcond=None)[0]
+        if (a < -1e-9).any() or (a > c + 1e-9).any():
+            continue
+        value = a.sum() - a @ q @ a / 2
+        if best is None or value > best[0]:
+            best = value, a
+    return best
+
+
+def test_dual_coordinate_descent_against_an_exact_solver():
+    rng = np.random.default_rng(3)
+    for trial in range(6):
+        n, bits = 7, 4
+        rows = [np.unique(rng.integers(0, 1 << bits, 5)) for _ in range(n)]
+        y = np.array([1, 0, 1, 0, 0, 1, 0])
+        scale = rng.normal(size=1 << bits) * (1 + trial)
+        w, b = quality.dual_coordinate_descent(rows, y, scale, epochs=20_000, tolerance=1e-12)
+        z = np.zeros((n, (1 << bits) + 1))
+        for i, x in enumerate(rows):
+            z[i, x], z[i, -1] = scale[x] / len(x) ** 0.5, 1.0
+        sign, c = np.where(y > 0, 1.0, -1.0), np.where(y > 0, n / (2 * 3), n / (2 * 4))
+        value, alpha = exact_dual(z, sign, c)
+        want = (alpha * sign) @ z
+        own = np.append(w, b)
+        primal = lambda v: v @ v / 2 + (c * np.maximum(0, 1 - sign * (z @ v))).sum()  # noqa: B023, E731
+        assert abs(primal(want) - value) < 1e-6 and abs(primal(own) - value) < 1e-6 and np.abs(own - want).max() < 1e-4
+
+
+def test_toxicity_without_labels(spark):
+    df = frame(spark, [(1, "plain words"), (2, None), (1, "plain words"), (3, "")])
+    lab = spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int")
+    for some in (lab.where("false"), lab.where("doc_id = 1"), lab):
+        got = toxicity.toxicity_scores(df, some).collect()
+        assert len(got) == 4 and len({r.score for r in got}) == 1 and 0 < got[0].score <= 0.5
+
+
 def test_toxicity(spark):
     rows, labels = labelled_docs(2, 1500)
     df = frame(spark, rows + [(9001, None), (9002, ""), (None, "x y"), rows[0], (9003, "long word " * 30000), (9004, "$" * 5000)])
@@ -614,6 +659,65 @@ def test_restoring_words():
     assert r.restore(None) == r.restore("") == set() and r.restore("plain words, here.") == {"plain", "words", "here"}
 
 
+def lattice_paths(s, i=0):
+    """All writings of a word from place i on with the costs of the channel, by the rules as they are written down."""
+    if i == len(s):
+        yield "", 0.0
+        return
+    c, n = s[i], 1
+    while i + n < len(s) and s[i + n] == c:
+        n += 1
+    fresh = n  # signs of this run that are left
+    letters = c if c.isalpha() else deobfuscate.LOOKS.get(c, "")
+    cost = 0.0 if c.isalpha() else 1.5
+    steps = []
+    for x in letters:
+        steps.append((1, x, cost))
+        if fresh >= 2:
+            steps.append((n, x, cost + 0.4))
+        if fresh >= 3:
+            steps.append((n, 2 * x, cost + 0.8))
+    if c == "*":
+        steps += [(1, x, 2.0) for x in "abcdefghijklmnopqrstuvwxyz"]
+    if not c.isalpha():
+        steps.append((1, c, 3.0))
+        if c in deobfuscate.SEPARATORS:
+            steps.append((n, "", 0.7))
+    for k, x, price in steps:
+        for rest, more in lattice_paths(s, i + k):
+            yield x + rest, price + more
+
+
+def test_decoding_against_all_paths():
+    texts = ["you stupid idiot and moron of a grubber, this is the worst day of the week so far"] * 3
+    model = deobfuscate.language_model(sum(deobfuscate.trigram_counts(t) for t in texts))
+    r = deobfuscate.Restorer(model)
+
+    def total(text, cost):
+        s = [0, 0, *(deobfuscate._symbol(x) for x in text), 0]
+        return sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:])) - cost
+
+    rng = random.Random(4)
+    words = ["1d10t", "st*p1d", "m.0.r", "sttuup", "aaa", "w--d", "6o0", "!!", "*", "a b", "1111"] + ["".join(rng.choice("abo01*.- $st6") for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    for w in words:
+        costs = {}
+        for text, cost in lattice_paths(w):
+            costs[text] = min(cost, costs.get(text, 99.0))
+        best = max(total(t, c) for t, c in costs.items())
+        got = r.decode(w)
+        assert got in costs and abs(total(got, costs[got]) - best) < 1e-9, w
+
+
+def test_restoring_wanted_words():
+    texts = ["you stupid idiot and moron of a grubber, this is the worst day of the week so far"] * 3
+    wanted = deobfuscate.Wanted(["stupid", "idiot", "grubber"], ["grub"])
+    r = deobfuscate.Restorer(deobfuscate.language_model(sum(deobfuscate.trigram_counts(t) for t in texts)), wanted=wanted)
+    for text in ("st.upid", "stu-pid", "st*pid", "st up id", "s  t  u  p  i  d", "sttuupid", "stuu pid", "so stu\np1d!", "stupid.1diot", "you st u pid one", "ssttuuppiidd"):
+        assert "stupid" in r.restore(text), text
+    assert r.restore("stupid.1diot") >= {"stupid", "idiot"} and r.restore("ggrruubbberr") >= {"grubber"}
+    assert r.restore("the week is so far") == {"the", "week", "is", "so", "far"}
+
+
 def test_restoring_separated_words():
     texts = ["you stupid idiot and moron of a grubber, this is the worst day of the week so far"] * 3 + ["plain words of a well known kind are here"]
     r = deobfuscate.Restorer(deobfuscate.language_model(sum(deobfuscate.trigram_counts(t) for t in texts)))
