@@ -1,18 +1,23 @@
 """Noisy-channel restoration of disguised words.
 
 A disguised word is a lattice: a sign stands for itself or for the letters it
-looks like, a run of three or more equal signs for one or two of them, and a
+looks like, a star for any letter, a run of equal signs for fewer of them, and a
 separator for itself or for nothing. Viterbi decoding finds the path that the
-character language model and the costs of the channel together like best. A word
-without such signs has one path, itself, so it isn't decoded. A word whose only
-such signs are separators between letters may be a plain compound: what it is
-decoded to counts beside its parts.
+character language model and the costs of the channel together like best.
+
+A word without signs that can be read in two ways has one path, itself, so it isn't
+decoded. A word with separators may be a compound of others: its parts count beside
+what the whole is decoded to. Doubled letters and words split by blanks are in every
+plain text; they are decoded where that can give a word that is looked for (Wanted),
+which changes nothing in what is found of these.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 
@@ -21,14 +26,16 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-# Costs of the channel, as negative natural logarithms: a letter written as a sign, a sign that stands for itself, a separator within a word, a repeated sign.
-SIGN, ITSELF, SEPARATOR, REPEAT = 1.5, 3.0, 0.7, 0.4
+# Costs of the channel, as negative natural logarithms: a letter written as a sign, a sign that stands for itself, a separator within a word, a repeated sign, a star for a letter.
+SIGN, ITSELF, SEPARATOR, REPEAT, STAR = 1.5, 3.0, 0.7, 0.4, 2.0
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = " .-_*~'`^#%&,/"
 EDGES = ".,;:!?\"'()[]{}|<>«»“”„…-_*~`^#%&/="
 #: Symbols of the language model: 0 between words, 1 to 26 for a to z, 27 for other letters.
 SYMBOLS = 28
 
 
+@cache
 def _symbol(c: str) -> int:
     if not c.isalpha():
         return 0
@@ -42,7 +49,10 @@ _SEVERAL = re.compile(r"(.)\1\1")
 _EDGE_RUN = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SUSPECT = re.compile("[" + re.escape("".join(LOOKS)) + "]")
+_BETWEEN = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _SEPARATED = re.compile(r"[^\W\d_][" + re.escape(SEPARATORS) + r"]+[^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_RUN = re.compile(r"(.)\1+")
 #: Three or more single signs with one white-space sign between each two, and with any white space; wider gaps may be those between words, so both are read.
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
@@ -74,16 +84,62 @@ def _written(chain: tuple | None) -> str:
     return "".join(reversed(out))
 
 
+class Wanted:
+    """Words and word beginnings that are looked for, by what tells that a token may be read as one."""
+
+    def __init__(self, words: Iterable[str], beginnings: Iterable[str] = (), remember: int = 200_000) -> None:
+        words = set(words)
+        self.runs: dict[str, list[str]] = {}  # words by what they are with runs shortened
+        for w in sorted(words):
+            self.runs.setdefault(_RUN.sub(r"\1", w), []).append(w)
+        self.prefixes = {w[:n] for w in self.runs for n in range(1, len(w))}
+        self.run_beginnings = {_RUN.sub(r"\1", w) for w in beginnings}
+        self.longest = max(map(len, self.run_beginnings), default=0)
+        self.known: dict[str, str] = {}
+        self.remember = remember
+
+    def plain(self, token: str) -> str:
+        """A token with letters for signs and without runs."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= self.remember:
+                self.known.clear()
+            found = self.known[token] = _RUN.sub(r"\1", token.strip(EDGES).translate(_FIRST))
+        return found
+
+    def repeated(self, token: str) -> bool:
+        """Whether a token, its runs shortened, may be one of the words or begin like one."""
+        plain = _RUN.sub(r"\1", token)
+        return plain in self.runs or any(plain[:n] in self.run_beginnings for n in range(1, min(len(plain), self.longest) + 1))
+
+    def split(self, tokens: list[str]) -> Iterable[tuple[str, str]]:
+        """The words that consecutive tokens may make up, and these tokens."""
+        every = [self.plain(x) for x in tokens]
+        for i, whole in enumerate(every):
+            if whole not in self.prefixes:
+                continue
+            for j in range(i + 1, len(tokens)):
+                whole += every[j][whole[-1:] == every[j][:1] :]
+                for word in self.runs.get(whole, ()):
+                    yield word, " ".join(x.strip(EDGES) for x in tokens[i : j + 1])
+                if whole not in self.prefixes:
+                    break
+
+
+_FIRST = str.maketrans({c: x[0] for c, x in LOOKS.items()})
+
+
 class Restorer:
     """Restores the words of texts; remembers what it has decoded.
 
     The table of decoded words starts anew when it is full, so its size is bounded.
     """
 
-    def __init__(self, model: np.ndarray, remember: int = 200_000) -> None:
+    def __init__(self, model: np.ndarray, remember: int = 200_000, wanted: Wanted | None = None) -> None:
         self.model = model.tolist()
         self.known: dict[str, tuple[str, ...]] = {}
         self.remember = remember
+        self.wanted = wanted
 
     def _edges(self, s: str, i: int, end: int) -> list[tuple[int, str, float]]:
         """Where the paths at i lead to, what they write, and what the channel takes for it; the run of equal signs ends at end."""
@@ -93,8 +149,12 @@ class Restorer:
         cost = 0.0 if c.isalpha() else SIGN
         for x in letters:
             out.append((i + 1, x, cost))
+            if n >= 2:
+                out.append((i + n, x, cost + REPEAT))
             if n >= 3:
-                out += [(i + n, x, cost + REPEAT), (i + n, x + x, cost + 2 * REPEAT)]
+                out.append((i + n, x + x, cost + 2 * REPEAT))
+        if c == "*":
+            out += [(i + 1, x, STAR) for x in LETTERS]
         if not c.isalpha():
             out.append((i + 1, c, ITSELF))
             if c in SEPARATORS:
@@ -143,9 +203,14 @@ class Restorer:
             parts = _LETTERS.findall(core)
             lone = len(parts) > 2 and max(map(len, parts)) == 1
             if parts and (lone or _SEVERAL.search(core) or (len(parts[0]) != len(core) and _SUSPECT.search(core))):
+                pieces = [] if lone else [x for x in _BETWEEN.split(core) if x and x != core]
                 parts = _LETTERS.findall(self.decode(core))
+                for x in pieces:
+                    parts += self.words(x)
             elif len(parts) > 1 and _SEPARATED.search(core):
                 parts += _LETTERS.findall(self.decode(core))
+            if self.wanted and _DOUBLED.search(core) and self.wanted.repeated(core):
+                parts += _LETTERS.findall(self.decode(core))
             if len(self.known) >= self.remember:
                 self.known.clear()
             found = self.known[token] = tuple(parts)
@@ -155,8 +220,13 @@ class Restorer:
         """The distinct restored words of a whole text, with what spaced-out letters spell."""
         low = (text or "").lower()
         out: set[str] = set()
-        for token in set(low.split()):
+        tokens = low.split()
+        for token in set(tokens):
             out.update(self.words(token))
         for m in (*SPACED.finditer(low), *APART.finditer(low)):
             out.update(self.words(" ".join(m[0].split())))
+        if self.wanted:
+            for word, split in self.wanted.split(tokens):
+                if word not in out and word in _LETTERS.findall(self.decode(split)):
+                    out.add(word)
         return out

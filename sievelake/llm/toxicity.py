@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grams, mix, prepare, word_hashes
-from .deobfuscate import SYMBOLS, Restorer, language_model, trigram_counts
+from .deobfuscate import SYMBOLS, Restorer, Wanted, language_model, trigram_counts
 from .quality import logistic_curve, sample, train_fold
 
 #: Labelled rows that the lexicon is learned from at most; those with the smallest hash of their doc_id.
@@ -130,7 +130,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     weights, slope, offset = fit(rows, learned.column("keys").to_pylist(), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
+        restorer = Restorer(model, wanted=Wanted((w for w in weights if not w.endswith("*")), (w[:-1] for w in weights if w.endswith("*"))))
         strongest: dict[str, float] = {}
         for batch in batches:
             scores = []
