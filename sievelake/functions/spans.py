@@ -1,48 +1,135 @@
-"""Matches of regular expressions with code-point offsets, by built-in functions.
-
-regexp_extract_all gives the matches and split what lies between; their lengths,
-summed in order, give the ends. The sum is a window over the exploded matches, so
-the cost is linear in them, and texts are never shuffled. Matches are dealt out by
-doc_id once; the windows here and what follows by document need no further
-exchange. A group-1 finding ends where its match ends, so its start follows from
-its length.
+"""Matches of regular expressions with code-point offsets, row by row, by built-in functions.
+
+A finding is marked where it stands: regexp_replace puts a mark on both sides of it,
+in one pass, and split at the mark gives what lies between findings and the findings
+in turn. Their lengths, summed in order, give the offsets. So the findings of a text
+are an array beside it: nothing is shuffled, rows needn't have an id, and the same
+expression runs on a stream.
+
+The sums are folds that append to an array, which takes time by the square of its
+length; so long arrays are folded in slices, each from the sum of what comes before it.
+The mark is a code point that is no character; where a text has it, it is another one
+of these while matches are looked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .catalog import Pattern
 
-ENTITY = "doc_id, seq, entity_group, word, start, end, score, method"
+_MARK, _OTHER = "￿", "￾"
+#: Elements that are folded in one go; even, as findings are every second one.
+SLICE = 512
+FINDING = "struct<entity_group: string, word: string, start: int, end: int, score: double, method: string>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def empty(kind: str) -> Column:
+    return F.expr(f"cast(array() AS array<{kind}>)")
+
+
+def in_slices(values: Column, total: Callable[[Column], Column], use: Callable[[Column, Column, Column], Column], start: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The arrays that use(slice, what the totals of all earlier slices add up to, its own sum with these) gives, one after another."""
+
+    def sliced(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / SLICE).cast("int") - 1, F.lit(0)))
+        part = lambda i: F.slice(x, i * SLICE + 1, F.lit(SLICE))
+        sums = F.aggregate(F.transform(at, lambda i: total(part(i))), F.array(start), lambda acc, y: F.concat(acc, F.array(add(F.element_at(acc, -1), y))))
+        return let(sums, lambda s: F.flatten(F.transform(at, lambda i: use(part(i), F.get(s, i), F.get(s, i + 1)))))
+
+    return let(values, sliced)
+
+
+def steady(regex: str) -> str:
+    """A pattern that finds the same, but repeats words without a call for each, and tries no label twice.
+
+    Java calls itself for every repetition of a group that it may have to give back;
+    a word that ends at a boundary never has to be. Labels differ in case only.
+    """
+    if m := re.fullmatch(r"(.*)\(\?:(\\s\+[^()]*)\)([*+])\\b", regex):
+        regex = m[1] + (r"\b" if m[3] == "*" else "") + f"(?:{m[2]}\\b){m[3]}+"
+    if m := re.match(r"\(\?i\)\(\?:([^)]*)\)", regex):
+        regex = f"(?i)(?:{'|'.join(dict.fromkeys(x.lower() for x in m[1].split('|')))}){regex[m.end() :]}"
+    return regex
+
+
+def _two_groups(regex: str) -> str:
+    """A pattern whose first group is the end of its match, with a group for what comes before, too."""
+    at, inside = 0, False
+    while not (regex[at] == "(" and not inside and regex[at + 1] != "?"):
+        inside = regex[at] == "[" or inside and regex[at] != "]"
+        at += 2 if regex[at] == "\\" else 1
+    flags = re.match(r"(?:\(\?[a-zA-Z]+\))?", regex)[0]
+    return f"{flags}({regex[len(flags) : at]}){regex[at:]}"
+
+
+def _placed(parts: Column) -> Column:
+    """Start, end and word of the findings among what lies between and findings in turn."""
+    kind = "struct<start: int, end: int, word: string>"
+
+    def fold(some: Column, base: Column, _: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x)
+            found = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("word"))
+            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(some, F.struct(base.alias("at"), F.lit(False).alias("hit"), empty(kind).alias("out")), step, lambda acc: acc["out"])
 
+    return in_slices(parts, lambda some: F.aggregate(some, F.lit(0), lambda acc, x: acc + F.length(x)), fold, F.lit(0))
 
-def find_spans(docs: DataFrame, patterns: list[Pattern], first: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per match of each pattern in docs (doc_id, text): doc_id, rank, i, entity_group, word, start, end, score, method.
 
-    rank is the pattern's place in the list, from ``first``; i the match's place in
-    the text. Patterns with the same expression are matched once. doc_id must be
-    unique. Texts that are null have no matches. Columns in ``keep`` go along.
+def _needs(p: Pattern) -> tuple[str, ...]:
+    """Strings of which a text with a match has one at least, in small letters; none if nothing is known. "0" stands for any digit."""
+    outside = re.sub(r"\[[^\]]*\]", "", p.regex)
+    if "\\\\" in outside:
+        return ("\\",)
+    if p.group and (labels := re.match(r"\(\?i\)\(\?:([^)]*)\)", p.regex)):
+        words = {x.split("\\s")[0].lower() for x in labels[1].split("|")}
+        return tuple(sorted(w for w in words if not any(x != w and x in w for x in words)))
+    for x in "@-":
+        if x in outside:
+            return (x,)
+    return ("0",) if r"\d" in outside or re.search("[0-9]", re.sub(r"\{[^}]*\}", "", outside)) else ()
+
+
+def matches(text: Column, low: Column, digit: Column, p: Pattern) -> Column:
+    """Start, end and word of what a pattern finds in a text; null if that is nothing. low is the text in small letters, digit whether it has one."""
+    regex, marked = (_two_groups(steady(p.regex)), f"$1{_MARK}$2{_MARK}") if p.group else (steady(p.regex), f"{_MARK}$0{_MARK}")
+    found = let(F.regexp_replace(F.translate(text, _MARK, _OTHER), F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), _placed(F.split(x, _MARK, -1))))
+    needed = [digit if x == "0" else F.contains(low, F.lit(x)) for x in _needs(p)]
+    some = None
+    for x in needed:
+        some = x if some is None else some | x
+    return found if some is None else F.when(some, found)
+
+
+def findings(text: Column, patterns: list[Pattern]) -> Column:
+    """All findings in a text as an array (FINDING), by pattern, then place; empty for null texts.
+
+    Patterns with the same expression are matched once.
     """
-    text = F.col("text")
-    at: dict[tuple[str, int], list[int]] = {}
-    for k, p in enumerate(patterns):
-        at.setdefault((p.regex, p.group), []).append(k)
+    at: dict[tuple[str, int], list[Pattern]] = {}
+    for p in patterns:
+        at.setdefault((p.regex, p.group), []).append(p)
+    if not at:
+        return empty(FINDING)
     keys = list(at)
 
-    def matches(k: int) -> F.Column:
-        regex, group = keys[k]
-        whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-        found = F.struct(F.lit(k).alias("k"), whole.alias("m"), F.regexp_extract_all(text, F.lit(regex), F.lit(group)).alias("g"), F.split(text, F.lit(regex), -1).alias("s"))
-        return F.when(text.rlike(regex), found)
-
-    if not keys:
-        raise ValueError("no pattern to look for")
-    hits = docs.select("doc_id", *keep, F.explode(F.array_compact(F.array(*map(matches, range(len(keys)))))).alias("h"))
-    each = hits.select("doc_id", *keep, "h.k", F.posexplode(F.arrays_zip("h.m", "h.g", "h.s")).alias("i", "x")).where("x.m IS NOT NULL").repartition("doc_id")
-    order = Window.partitionBy("doc_id", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ended = each.withColumn("end", F.sum(F.length("x.s") + F.length("x.m")).over(order).cast("int")).withColumn("word", F.col("x.g"))
-    labels = F.array(*(F.array(*(F.struct(F.lit(first + k).alias("rank"), F.lit(patterns[k].category).alias("entity_group"), F.lit(patterns[k].score).alias("score"), F.lit(patterns[k].method).alias("method")) for k in at[key])) for key in keys))
-    label = F.explode(F.get(labels, F.col("k"))).alias("p")
-    return ended.select("doc_id", *keep, "i", "word", (F.col("end") - F.length("word")).alias("start"), "end", label).select("doc_id", *keep, "p.rank", "i", "p.entity_group", "word", "start", "end", "p.score", "p.method")
+    def labelled(p: Pattern, found: Column) -> Column:
+        one = lambda m: F.struct(F.lit(p.category).alias("entity_group"), m["word"].alias("word"), m["start"].alias("start"), m["end"].alias("end"), F.lit(p.score).alias("score"), F.lit(p.method).alias("method"))
+        return F.coalesce(F.transform(found, one), empty(FINDING))
+
+    def by_key(low: Column, digit: Column) -> Column:
+        every = F.array(*(matches(text, low, digit, at[key][0]) for key in keys))
+        return let(every, lambda m: F.concat(*(labelled(p, F.get(m, F.lit(keys.index((p.regex, p.group))))) for p in patterns)))
+
+    return let(F.lower(text), lambda low: let(F.rlike(text, F.lit("[0-9]")), lambda digit: by_key(low, digit)))

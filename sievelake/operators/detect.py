@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import Pattern, detectors, labelled, names
-from ..functions.spans import find_spans
+from ..functions.spans import FINDING, empty, findings
 
 
 @dataclass(frozen=True)
@@ -41,25 +41,50 @@ def patterns(options: Options) -> list[Pattern]:
     return out
 
 
-def _numbered(found: DataFrame) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "i")) - 1
-    return found.withColumn("seq", seq).select("doc_id", "seq", "entity_group", "word", "start", "end", "score", "method")
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out evenly if their plan has fewer partitions than there are cores; large inputs are left as they are.
 
+    Asking for the partitions plans the frame; if it has shuffles of its own, they run.
+    """
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
+def model_findings(ml: DataFrame) -> DataFrame:
+    """The findings of models (normalised, see tagger) as an array by doc_id."""
+    one = F.struct("entity_group", "word", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("score").cast("double").alias("score"), "method")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("x")))), lambda y: y["x"])
+    return ml.groupBy(F.col("doc_id").alias("_id")).agg(ordered.alias("_ml"))
 
-def detect(docs: DataFrame, options: Options = Options(), ml: DataFrame | None = None) -> DataFrame:
-    """All findings in docs (doc_id unique, text): doc_id, seq, entity_group, word, start, end, score, method.
 
-    seq numbers a document's findings by pattern, then place. Findings of a model
-    (normalised, see tagger) come after them. Null and empty texts have none.
+def with_findings(docs: DataFrame, options: Options = Options(), ml: DataFrame | None = None, name: str = "found") -> DataFrame:
+    """docs (doc_id, text and any other columns) with an array of each row's own findings (FINDING), by pattern, then place.
+
+    Rows are taken one by one, so doc_ids may be null or repeated. Findings of models
+    follow, for every row of their doc_id. Null and empty texts have none.
     """
-    wanted = patterns(options)
-    found = find_spans(docs, wanted) if wanted else None
-    if ml is not None and options.use_ml:
-        model = ml.select("doc_id", F.lit(len(wanted)).alias("rank"), F.col("seq").alias("i"), "entity_group", "word", "start", "end", "score", "method")
-        found = model if found is None else found.unionByName(model)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, seq int, entity_group string, word string, start int, end int, score double, method string")
-    return _numbered(found)
+    own = findings(F.col("text"), patterns(options))
+    if ml is None or not options.use_ml:
+        return docs.withColumn(name, own)
+    joined = docs.join(model_findings(ml), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn(name, F.concat(own, F.coalesce("_ml", empty(FINDING)))).drop("_id", "_ml")
+
+
+def exploded(docs: DataFrame, found: Column | str = "found", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a finding: doc_id, seq (its place in the array), the columns in keep, and the finding's own."""
+    return docs.select("doc_id", *keep, F.posexplode(found).alias("seq", "_x")).select("doc_id", *keep, "seq", "_x.*")
+
+
+def detect(docs: DataFrame, options: Options = Options(), ml: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All findings in docs (doc_id, text): doc_id, seq, entity_group, word, start, end, score, method.
+
+    seq numbers a row's findings by pattern, then place. Findings of a model
+    (normalised, see tagger) come after them. Null and empty texts have none. Columns
+    in ``keep`` go along. Nothing is shuffled, unless there are findings of a model.
+    """
+    return exploded(with_findings(docs, options, ml), keep=keep)
 
 
 def detect_arrow(docs: DataFrame, options: Options = Options()) -> DataFrame:

@@ -10,12 +10,12 @@ def _set(value: Column) -> Column:
     return F.array_sort(F.collect_set(value))
 
 
-def summary_by_document(docs: DataFrame, judged: DataFrame) -> DataFrame:
+def summary_by_document(docs: DataFrame, judged: DataFrame, loaded: tuple[str, ...] = ()) -> DataFrame:
     """One row per document of docs (doc_id) for its findings with a status; zeros for those without any.
 
     Columns: doc_id, total_entities, filtered_entities, categories_found (of valid
-    ones), methods_used (of all, before filtering), avg_confidence (of valid ones),
-    validation_rate.
+    ones), methods_used (of all, before filtering, and the models that are loaded, with
+    or without findings), avg_confidence (of valid ones), validation_rate.
     """
     valid = F.col("status") == "VALID"
     sums = judged.groupBy("doc_id").agg(
@@ -27,7 +27,7 @@ def summary_by_document(docs: DataFrame, judged: DataFrame) -> DataFrame:
     total = F.coalesce("total_entities", F.lit(0)) + F.coalesce("filtered_entities", F.lit(0))
     return docs.select("doc_id").join(sums, "doc_id", "left").select(
         "doc_id", F.coalesce("total_entities", F.lit(0)).cast("long").alias("total_entities"), F.coalesce("filtered_entities", F.lit(0)).cast("long").alias("filtered_entities"),
-        F.coalesce("categories_found", F.array(), none).cast("array<string>").alias("categories_found"), F.coalesce("methods_used", F.array(), none).cast("array<string>").alias("methods_used"),
+        F.coalesce("categories_found", F.array(), none).cast("array<string>").alias("categories_found"), F.array_sort(F.array_union(F.coalesce("methods_used", F.array(), none).cast("array<string>"), F.array(*map(F.lit, loaded)).cast("array<string>"))).alias("methods_used"),
         F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"),
         F.coalesce(F.col("total_entities") / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("validation_rate"),
     )
@@ -44,9 +44,9 @@ def summary_by_category(judged: DataFrame) -> DataFrame:
     return judged.groupBy("entity_group", "status").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.avg("score").alias("avg_score"))
 
 
-def corpus_rollup(judged: DataFrame, docs: DataFrame, by: str) -> DataFrame:
-    """Counts of findings by a column of the documents and category, with subtotals (null is 'all')."""
-    return judged.join(docs.select("doc_id", by), "doc_id").rollup(by, "entity_group").agg(F.count("*").alias("n"))
+def corpus_rollup(judged: DataFrame, by: str) -> DataFrame:
+    """Counts of findings by a column that came along with them (see detect) and category, with subtotals (null is 'all')."""
+    return judged.rollup(by, "entity_group").agg(F.count("*").alias("n"))
 
 
 def group_for_display(judged: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import FORMS, PRIORITY
 
+
 def _has_form(word: Column, form: str) -> Column:
-    return word.rlike(f"(?d){form}")  # only \n ends a line
+    """Whether the word has the form from its start on; digits, blanks and letters are those of Unicode, only \\n ends a line."""
+    return word.rlike(f"(?dU)^(?:{form})") if form != ".*" else word.isNotNull()
 
 
 def _own(category: Column, word: Column, forms: dict[str, str | None]) -> Column:
@@ -26,6 +28,20 @@ def _other(word: Column, forms: dict[str, str | None]) -> Column:
     return F.coalesce(*(F.when(_has_form(word, forms[c]), F.lit(c)) for c in order), F.lit(None).cast("string"))
 
 
+def valid(category: Column, word: Column, score: Column, min_confidence: float = 0.5, cross: bool = False, forms: dict[str, str | None] = FORMS) -> Column:
+    """Whether a finding is valid and its score at least min_confidence, as in validate(), but for a finding in an array, too."""
+    own = F.coalesce(_own(category, word, forms), F.lit(False))
+    if cross:
+        known = F.coalesce(category.isin(*(c for c, form in forms.items() if form is not None)), F.lit(False))
+        own = own | known & _other(word, forms).isNotNull()
+    return own & F.coalesce((score >= min_confidence) & ~F.isnan(score), F.lit(False))
+
+
+def drop_invalid(found: DataFrame, cross: bool = False, forms: dict[str, str | None] = FORMS) -> DataFrame:
+    """The findings whose word is of the form of their category (or of another, if words are cross-checked), whatever their score."""
+    return validate(found, float("-inf"), cross, forms).where("validation.valid").drop("status", "filter_reason")
+
+
 def validate(found: DataFrame, min_confidence: float = 0.5, cross: bool = False, forms: dict[str, str | None] = FORMS) -> DataFrame:
     """Adds validation, status (VALID or FILTERED), filter_reason and original_category to findings.
 

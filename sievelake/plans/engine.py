@@ -11,16 +11,16 @@ from pyspark.sql.functions import udtf
 from ..functions.catalog import catalog
 from ..operators.detect import Options, detect, patterns
 from ..operators.merge import merge
-from ..operators.redact import redact
+from ..operators.redact import redact_texts
 from ..operators.summarize import summary_by_document
 from ..operators.validate import validate
 
 
 class Engine:
-    """Queries over documents (doc_id unique, text)."""
+    """Queries over documents (doc_id, text). ``models`` names the models that are loaded, whose findings are in ``ml``."""
 
-    def __init__(self, spark: SparkSession, options: Options = Options(), ml: DataFrame | None = None) -> None:
-        self.spark, self.options, self.ml = spark, options, ml
+    def __init__(self, spark: SparkSession, options: Options = Options(), ml: DataFrame | None = None, models: tuple[str, ...] = ()) -> None:
+        self.spark, self.options, self.ml, self.models = spark, options, ml, models
 
     def detect(self, docs: DataFrame) -> DataFrame:
         """Raw findings."""
@@ -35,11 +35,11 @@ class Engine:
         return validate(self.detect(docs), self.options.min_confidence, cross)
 
     def summarize(self, docs: DataFrame, cross: bool = False) -> DataFrame:
-        return summary_by_document(docs, self.detect_validated(docs, cross))
+        return summary_by_document(docs, self.detect_validated(docs, cross), self.models)
 
     def anonymize(self, docs: DataFrame, replacement: str = "[REDACTED]", mode: str = "safe", cross: bool = False) -> DataFrame:
         """Texts without their valid findings."""
-        return redact(docs, self.detect_validated(docs, cross).where("status = 'VALID'"), replacement, mode)
+        return redact_texts(docs, self.options, replacement, mode, cross, ml=self.ml)
 
     def status(self) -> DataFrame:
         """One row: whether a model's findings are there, how many patterns are in use, Spark's version."""

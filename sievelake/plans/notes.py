@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.detect import spread
+
 #: A note for every order, with findings of most categories.
 NOTES = """
 SELECT o_orderkey AS doc_id,
@@ -64,9 +66,41 @@ TAGGED = [
 CLASSES = [("EMAIL", 1.0, 1.0, 1.0, 1512), ("ZIPCODE", 0.9979, 0.5771, 0.7313, 1641), ("AGE", 0.5, 0.25, 1 / 3, 716), ("PASSPORTNUM", 0.0, 0.0, 0.0, 0)]
 
 
+#: Tokens that a model has labelled: doc_id, model, i, label, score, start, end, inside (a word that goes on).
+TOKENS = [
+    (1, "a", 0, "O", 0.9, 0, 2, False), (1, "a", 1, "B-FULLNAME", 0.8, 3, 7, False), (1, "a", 2, "I-FULLNAME", 0.6, 8, 11, False), (1, "a", 3, "I-CITY", 0.5, 11, 14, True), (1, "a", 4, "B-FULLNAME", 0.9, 15, 18, False),
+    (1, "a", 5, "O", 0.9, 19, 20, False), (1, "a", 6, "FULLNAME", 0.4, 21, 25, False), (1, "b", 0, "I-CITY", 0.7, 0, 4, False), (1, "b", 1, "I-CITY", 0.5, 4, 6, True), (2, "a", 0, "O", 0.3, 0, 3, False),
+    (2, "a", 1, "I-AGE", 0.75, 3, 5, True), (2, "a", 2, None, 0.3, 6, 9, False), (2, "a", 3, "I-AGE", 0.25, 10, 12, False), (2, "a", 4, "B-AGE", 0.5, 13, 15, False),
+]
+
+#: Prose about categories, as a text of numbered descriptions.
+PROSE = """Categories
+
+1. EMAIL
+   - An address that mail is sent to.
+   - Has one at sign.
+
+2. AGE
+   - Years, in digits.
+
+3. IBAN
+   - Not in the catalog.
+"""
+
+#: A short text for every order: blank ones and one with a finding.
+SHORT = """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL ELSE 'mail to a@b.cc' END AS text, o_orderpriority AS priority FROM orders
+"""
+
+
+def short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, priority."""
+    return spark.sql(SHORT.replace("FROM orders", "FROM {orders}"), orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet")))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, priority."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}
+    tables = {"orders": spread(spark.read.parquet(f"{sf_dir}/orders.parquet")), "customer": spark.read.parquet(f"{sf_dir}/customer.parquet")}
     return spark.sql(NOTES.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), **tables)
 
 

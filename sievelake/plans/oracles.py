@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.catalog import CATEGORIES, FORMS, PRIORITY, Pattern
+from ..functions.catalog import CATEGORIES, FORMS, PRIORITY, Pattern, detectors, names
 from ..operators.detect import Options, patterns
-from .notes import CASES, CLASSES, COVERAGE, NOTES, TAGGED, values_sql
-from .queries import IN_DOCUMENTS, IN_NOTES
+from .notes import CASES, CLASSES, COVERAGE, NOTES, SHORT, TAGGED, TOKENS, values_sql
+from .queries import IN_DOCUMENTS, IN_NOTES, IN_TURNS, OWN_FORMS
 
 _NOTES = f"({NOTES})"
 _TEXTS = values_sql(COVERAGE, "doc_id, text, expected")
@@ -42,7 +42,7 @@ def _case(otherwise: str, cases: list[tuple[str, str]]) -> str:
 
 
 def judged_sql(found: str, least: float = 0.5, cross: bool = False) -> str:
-    has = lambda c: "true" if FORMS[c] == ".*" else f"regexp_matches(word, {_quote(FORMS[c])})"
+    has = lambda c: "true" if FORMS[c] == ".*" else f"regexp_matches(word, {_quote('^(?:' + FORMS[c] + ')')})"
     own = _case("false", [(f"category = '{c}'", has(c)) for c in FORMS])
     order = PRIORITY + [c for c in FORMS if c != "STREET" and c not in PRIORITY]
     other = _case("NULL", [(has(c), f"'{c}'") for c in order]) if cross else "NULL"
@@ -128,6 +128,28 @@ _GOLD = " UNION ALL ".join(
 )
 _PREDICTED = found_sql(_NOTES, use_contextual=False, categories=("EMAIL", "ACCOUNTNUM", "GENDER", "CITY"))
 _JUDGED = "doc_id, entity_group, word, score::DOUBLE AS score, valid, reason, corrected_category, status, filter_reason, original_category"
+#: Texts in which letters and digits beyond ASCII are a digit and other signs beyond ASCII a hyphen: word boundaries are then the same to all engines, and so are names, which are ASCII.
+_ASCII = r"(SELECT doc_id, regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\p{Mn}\x00-\x7F]', '-', 'g'), '[^\x00-\x7F]', '0', 'g') AS text FROM documents)"
+_TAGGED = f"""(SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY model, i) - 1)::INT AS seq, label AS entity_group, substr(text, least(s, length(text)) + 1, greatest(least(e, length(text)) - s, 0)) AS word,
+            s AS start, e AS stop, p AS score, 'ml_' || model AS method FROM (
+                SELECT *, coalesce(nullif(entity_group, ''), nullif(entity, ''), 'UNKNOWN') AS label, CASE WHEN "start" IS NULL THEN 0 ELSE try_cast("start" AS INT) END AS s,
+                       CASE WHEN stop IS NULL THEN 0 ELSE try_cast(stop AS INT) END AS e, CASE WHEN score IS NULL THEN 0.0::DOUBLE ELSE try_cast(score AS DOUBLE) END AS p
+                FROM {values_sql(TAGGED, 'doc_id, model, i, entity_group, entity, score, "start", stop')}
+            ) JOIN {_TEXTS} USING (doc_id) WHERE s IS NOT NULL AND e IS NOT NULL AND p IS NOT NULL)"""
+
+
+def _joined(strategy: str) -> str:
+    tokens = values_sql(TOKENS, "doc_id, model, i, label, score, start, stop, inside")
+    if strategy == "first":
+        tokens = f"""(SELECT doc_id, model, min(i) AS i, arg_min(label, i) AS label, arg_min(score, i) AS score, min(start) AS start, max(stop) AS stop
+            FROM (SELECT * REPLACE (coalesce(label, 'O') AS label), sum((NOT inside)::INT) OVER (PARTITION BY doc_id, model ORDER BY i) AS word FROM {tokens}) GROUP BY doc_id, model, word)"""
+    return f"""WITH t AS (SELECT *, regexp_replace(coalesce(label, 'O'), '^[BI]-', '') AS category FROM {tokens}),
+        r AS (SELECT *, sum((category IS DISTINCT FROM before OR starts_with(label, 'B-'))::INT) OVER (PARTITION BY doc_id, model ORDER BY i) AS run
+              FROM (SELECT *, lag(category) OVER (PARTITION BY doc_id, model ORDER BY i) AS before FROM t))
+        SELECT doc_id, model, (row_number() OVER (PARTITION BY doc_id, model ORDER BY run) - 1)::INT AS i, min(category) AS entity_group, round(avg(score), 6) AS score, min(start)::INT AS start, max(stop)::INT AS "end"
+        FROM r WHERE category <> 'O' GROUP BY doc_id, model, run"""
+
+
 _TURNS = "(SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations)"
 
 
@@ -136,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "catalog_overview": f"SELECT ord, category, regex, n AS n_examples, examples FROM {values_sql([(i + 1, c, form, len(x), ', '.join(x)) for i, (c, form, x) in enumerate(CATEGORIES)], 'ord, category, regex, n, examples')}",
         "detect_email": f'SELECT doc_id, word, start, stop AS "end", score, method FROM {_one("EMAIL")}',
         "detect_account": f'SELECT doc_id, word, start, stop AS "end" FROM {_one("ACCOUNTNUM")}',
+        "detect_fullname": _digest(f"(SELECT *, 0 AS seq FROM {spans_sql(_ASCII, names())})", "method"),
         "detect_all_regex": _digest(found_sql(_NOTES, use_contextual=False), "entity_group, method"),
         "detect_library_regex": _digest(found_sql(_NOTES, use_contextual=False, variant="library"), "entity_group, method"),
         "detect_contextual": f'SELECT doc_id, entity_group, word, start, stop AS "end" FROM {found_sql(_NOTES, use_regex=False)}',
@@ -149,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_islands": f'SELECT doc_id, seq, entity_group, word, start, stop AS "end", score, method FROM {merged_sql(found_sql(_NOTES, variant="service", use_names=True, categories=IN_NOTES))}',
         "summary_by_doc": _summary(_NOTES, judged_sql(_IN_NOTES)),
         "summary_of_entities": f"""SELECT doc_id, count(*) AS total_entities, array_to_string(list_sort(list_distinct(list(entity_group))), ',') AS categories_found,
-            array_to_string(list_sort(list_distinct(list(method))), ',') AS methods_used, round(avg(score), 6) AS avg_confidence, count(score) AS n_scores
+            array_to_string(list_sort(list_distinct(list(method))), ',') AS methods_used, round(avg(score), 6) AS avg_confidence, string_agg(printf('%.2f', score), ',' ORDER BY seq) AS scores
             FROM {merged_sql(found_sql(_TEXTS, variant="library", use_contextual=False))} GROUP BY doc_id""",
         "summary_by_category": f"SELECT entity_group, status, count(*) AS n, count(DISTINCT doc_id) AS docs, round(avg(score), 6) AS avg_score FROM {judged_sql(_IN_DOCUMENTS)} GROUP BY ALL",
         "corpus_rollup": f"SELECT lang, entity_group, count(*) AS n FROM {judged_sql(_IN_DOCUMENTS)} JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, entity_group)",
@@ -157,17 +180,29 @@ def oracle_sql() -> dict[str, str]:
             FROM {judged_sql(_IN_NOTES)} GROUP BY doc_id, status, entity_group""",
         "redact_exact": _spliced(_TEXTS, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {found_sql(_TEXTS, profile='as_written', use_contextual=False)} GROUP BY doc_id"),
         "redact_safe": _spliced(_NOTES, _safe_spans(f"(SELECT * FROM {judged_sql(_IN_NOTES)} WHERE status = 'VALID')")),
-        "redact_conversations": _spliced(_TURNS, _safe_spans(found_sql(_TURNS, use_contextual=False, categories=("EMAIL", "ACCOUNTNUM")))),
+        "redact_conversations": _spliced(_TURNS, _safe_spans(found_sql(_TURNS, use_contextual=False, categories=IN_TURNS))),
+        "redact_by_model": _spliced(_TEXTS, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {_TAGGED} GROUP BY doc_id"),
+        "redact_exact_notes": _spliced(_NOTES, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {found_sql(_NOTES, profile='as_written', use_contextual=False, categories=('GIVENNAME', 'SURNAME'))} GROUP BY doc_id"),
+        "rollup_all_categories": f"SELECT priority, entity_group, count(*) AS n FROM {judged_sql(found_sql(_NOTES))} JOIN {_NOTES} USING (doc_id) GROUP BY ROLLUP (priority, entity_group)",
+        "ml_join_simple": _joined("simple"),
+        "ml_join_first": _joined("first"),
+        "report_rows": f'SELECT entity_group, "precision", recall, f1, support FROM {values_sql(CLASSES, 'entity_group, "precision", recall, f1, support')}',
+        "catalog_described": f"""SELECT ord, category, CASE category WHEN 'EMAIL' THEN 'An address that mail is sent to.' || chr(10) || 'Has one at sign.' WHEN 'AGE' THEN 'Years, in digits.' END AS description
+            FROM {values_sql([(i + 1, c) for i, (c, _, _) in enumerate(CATEGORIES)], 'ord, category')}""",
+        "status": f"SELECT false AS model, {len(patterns(Options()))} AS patterns",
+        "blank_texts": f"""SELECT total_entities, filtered_entities, avg_confidence, validation_rate, count(*) AS n FROM ({_summary(f"({SHORT})", judged_sql(found_sql(f"({SHORT})")))}) GROUP BY ALL""",
+        "merge_confident": _digest(merged_sql(f"(SELECT * FROM {found_sql(_NOTES, variant='service', use_names=True, categories=IN_NOTES)} WHERE score >= 0.92)"), "entity_group, method"),
+        "validate_batch": _digest(f"(SELECT * FROM {judged_sql(found_sql(_NOTES, variant='service'))} WHERE valid)", "entity_group"),
+        "validate_cross_notes": f"SELECT original_category, entity_group, status, count(*) AS n, count(DISTINCT word) AS words FROM {judged_sql(found_sql(_NOTES, variant='service'), cross=True)} GROUP BY ALL",
+        "detect_unknown_categories": _digest(f"(SELECT *, 0 AS seq FROM {spans_sql('(SELECT o_orderkey AS doc_id, o_orderpriority AS text FROM orders)', detectors(forms=OWN_FORMS))})", "entity_group"),
+        "detect_by_sql": f'SELECT doc_id, entity_group, word, start, stop AS "end" FROM {found_sql(_TURNS, use_contextual=False, categories=IN_TURNS)}',
+        "detect_by_python": _digest(found_sql(_NOTES, use_contextual=False), "entity_group, method"),
+        "json_results": f"SELECT entity_group, status, count(*) AS n, count(DISTINCT doc_id) AS docs, round(avg(score), 6) AS avg_score FROM {judged_sql(_IN_DOCUMENTS)} GROUP BY ALL",
         "clean_docs": f"SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM {_IN_DOCUMENTS}) GROUP BY lang",
         "docs_with_category": f"SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM {_one('EMAIL')})",
         "topk_exposed_docs": f"SELECT doc_id, count(*) AS n FROM {judged_sql(_IN_DOCUMENTS)} WHERE status = 'VALID' GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
         "preview": "SELECT doc_id, substr(text, 1, 80) || '...' AS preview FROM documents",
-        "ml_normalize": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY model, i) - 1)::INT AS seq, label AS entity_group, substr(text, least(s, length(text)) + 1, greatest(least(e, length(text)) - s, 0)) AS word,
-            s AS start, e AS "end", p AS score, 'ml_' || model AS method FROM (
-                SELECT *, coalesce(nullif(entity_group, ''), nullif(entity, ''), 'UNKNOWN') AS label, CASE WHEN "start" IS NULL THEN 0 ELSE try_cast("start" AS INT) END AS s,
-                       CASE WHEN stop IS NULL THEN 0 ELSE try_cast(stop AS INT) END AS e, CASE WHEN score IS NULL THEN 0.0::DOUBLE ELSE try_cast(score AS DOUBLE) END AS p
-                FROM {values_sql(TAGGED, 'doc_id, model, i, entity_group, entity, score, "start", stop')}
-            ) JOIN {_TEXTS} USING (doc_id) WHERE s IS NOT NULL AND e IS NOT NULL AND p IS NOT NULL""",
+        "ml_normalize": f'SELECT * RENAME (stop AS "end") FROM {_TAGGED}',
         "coverage_ratio": f"""SELECT doc_id, round(r, 6) AS ratio, r >= 0.7 AS passed FROM (
             SELECT t.doc_id, len(list_intersect(string_split(expected, ','), coalesce(have, []))) / len(string_split(expected, ',')) AS r
             FROM {_TEXTS} t LEFT JOIN (SELECT doc_id, list(DISTINCT entity_group) AS have FROM {found_sql(_TEXTS)} GROUP BY doc_id) f ON f.doc_id = t.doc_id)""",

@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detect import Options, detect
+from ..operators.redact import redact_texts
 from ..operators.validate import validate
 
 
+def live_findings(docs: DataFrame, options: Options = Options(), cross: bool = False) -> DataFrame:
+    """The judged findings of a stream of texts (doc_id, text), as a stream without state: any sink, append mode, any trigger."""
+    return validate(detect(docs, options), options.min_confidence, cross)
+
+
+def live_redaction(docs: DataFrame, options: Options = Options(), replacement: str = "[REDACTED]") -> DataFrame:
+    """A stream of texts without their valid findings (doc_id, redacted), without state."""
+    return redact_texts(docs, options, replacement).select("doc_id", "redacted")
+
+
 def detect_stream(docs: DataFrame, sink, options: Options = Options(), cross: bool = False, checkpoint: str | None = None) -> StreamingQuery:
-    """Runs detection and validation on every micro-batch of a stream (doc_id, text) and hands the findings to sink(frame, batch_id).
+    """Hands the judged findings of every micro-batch of a stream (doc_id, text) to sink(frame, batch_id), and stops when all there is has been read.
 
     Batches are independent, so a batch that is run again gives the same rows; the
     sink should replace what it has of a batch_id.
     """
-    def one(batch: DataFrame, batch_id: int) -> None:
-        sink(validate(detect(batch, options), options.min_confidence, cross), batch_id)
-
-    writer = docs.writeStream.foreachBatch(one).trigger(availableNow=True)
+    writer = live_findings(docs, options, cross).writeStream.foreachBatch(sink).trigger(availableNow=True)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
