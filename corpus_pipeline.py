@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import materialise
+from sievelake.llm.common import column, discard, materialise, swept
 from sievelake.llm.contamination import decontaminate
 from sievelake.llm.nearcopies import drop_near_copies
 from sievelake.llm.packing import best_fit_packing
@@ -24,9 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; n_chars follows."""
-    cut = drop_recurring_lines(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the lines of recurring templates; n_chars follows.
+
+    Copies of a document are still there, and the next stage keeps one of them, so
+    what recurs only with all that surrounds it isn't a template here (``apart``).
+    """
+    cut = drop_recurring_lines(docs, apart=True)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*map(column, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage wrote for itself goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with swept(spark) as keep:
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(before)
     return docs
