@@ -14,11 +14,14 @@ anchor tells candidates from chance.
 Candidates come in two rounds. In the first come the links of SimHash, and at each
 band a document's link to the nearest earlier one; links count if the sets of word
 shingles, compared whole, have the similarity asked for. That joins large groups by
-few links. In the second every pair of near sketches at a band that the first left in
-different components is compared, so neither a nearer candidate that failed nor the
-size of a band hides one. Bands with more points than a task may hold are taken apart:
-blocks of points, and a task for each two blocks. Only the shingles of documents with
-a link are shuffled, not texts: a bitmap tells the scan which documents these are.
+few links. In the second every pair at a band that the first left in different
+components is compared by sketch, so neither a nearer candidate that failed nor the
+size of a band hides one. A second sketch, of BINS one-permutation min-hashes, which
+comes only to bands with several components, leaves out pairs whose similarity it puts
+DEVIATIONS standard deviations below the one asked for. Bands with more points than a
+task may hold are taken apart: blocks of points, and a task for each two blocks. Only
+the shingles of documents with a link are shuffled, not texts: a bitmap tells the scan
+which documents these are.
 """
 
 from __future__ import annotations
@@ -42,15 +45,30 @@ BITS = 4
 MINS, BAND = 128, 4
 #: Bits of 128 in which sketches of candidates may differ: 12.8 are expected at the similarity of 0.8, with a deviation of 3.4.
 NEAR = 32
+#: Bins of the second sketch, a byte each, and how far below the similarity asked for its estimate may be.
+BINS, DEVIATIONS = 256, 4
 #: The bitmap that tells which documents to take shingles of has 2**20 to 2**30 bits, sixteen a link; where it errs, it takes too many.
 FILTER_BITS = (20, 30)
 _FACTORS, _TERMS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(MINS + 1, 2 * MINS + 1, dtype=np.uint64))
 
 
-def fingerprint_of(text: str | None, shingle: int) -> int:
-    """SimHash of all word shingles of a text, repeats included; of the whole, if it has fewer words."""
+def sketches_of(text: str | None, shingle: int) -> tuple[int, int, int, bytes, bytes]:
+    """Of a text, its SimHash by all word shingles, repeats included, and the sketches of their set (the whole text is one, if it has fewer words)."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
-    return majority([grams(words, min(shingle, max(1, len(words))))])
+    found = grams(words, min(shingle, max(1, len(words))))
+    own = np.unique((found >> np.uint64(32)).astype(np.uint32))
+    x, y, anchors = sketch_of(own)
+    return int(np.uint64(majority([found])).view(np.int64)), x, y, anchors, bins_of(own)
+
+
+def bins_of(shingles: np.ndarray) -> np.ndarray:
+    """A byte of the smallest hash of a set of shingles in each bin of hashes; 0 for empty bins."""
+    sorted_ = np.sort(mix(shingles.astype(np.uint64) + np.uint64(MINS)))
+    at = np.searchsorted(sorted_, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    there = np.diff(np.append(at, len(sorted_))) > 0
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[there] = sorted_[at[there]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
 def sketch_of(shingles: np.ndarray) -> tuple[int, int, bytes]:
@@ -105,17 +123,41 @@ def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(me), np.concatenate(other)) if me else (none, none)
 
 
-def _across(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of all near pairs of a left and a right point (node, sketch, component) in different components, the larger node first, in blocks."""
-    a, b = right[:, 1].view(np.uint64), right[:, 2].view(np.uint64)
-    step = max(1, (1 << 21) // max(1, len(right)))
-    for at in range(0, len(left), step):
-        x, y = (left[at : at + step, k].view(np.uint64)[:, None] for k in (1, 2))
+class _Points:
+    """Points of a band: rows of node, sketch (two longs) and component, and their bins."""
+
+    def __init__(self, rows: np.ndarray, bins: np.ndarray) -> None:
+        self.rows, self.bins = rows, bins
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> _Points:
+        return cls(np.concatenate([x[0] for x in parts] or [np.zeros((0, 4), dtype=np.int64)]), np.concatenate([x[1] for x in parts] or [np.zeros((0, BINS), dtype=np.uint8)]))
+
+
+def _rest_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+    return rows, np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+
+
+def _across(left: _Points, right: _Points, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all near pairs of a left and a right point in different components, the larger node first, in blocks."""
+    a, b = right.rows[:, 1].view(np.uint64), right.rows[:, 2].view(np.uint64)
+    step = max(1, (1 << 21) // max(1, len(a)))
+    for at in range(0, len(left.rows), step):
+        some = left.rows[at : at + step]
+        x, y = (some[:, k].view(np.uint64)[:, None] for k in (1, 2))
         d = np.bitwise_count(x ^ a[None, :]).astype(np.int16) + np.bitwise_count(y ^ b[None, :])
-        me, other = np.nonzero((d <= NEAR) & (left[at : at + step, 3][:, None] != right[None, :, 3]))
-        p, q = left[at + me, 0], right[other, 0]
-        new = p > q if left is right else p != q
-        yield np.maximum(p, q)[new], np.minimum(p, q)[new]
+        me, other = np.nonzero((d <= NEAR) & (some[:, 3][:, None] != right.rows[None, :, 3]))
+        if left is right:
+            me, other = (k[some[me, 0] > right.rows[other, 0]] for k in (me, other))
+        for i in range(0, len(me), 1 << 14):
+            p, q = me[i : i + (1 << 14)], other[i : i + (1 << 14)]
+            u, v = left.bins[at + p], right.bins[q]
+            either = np.maximum(1, ((u | v) > 0).sum(axis=1))
+            alike = ((u == v) & (u > 0)).sum(axis=1) / either
+            near = alike >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either)
+            p, q = some[p[near], 0], right.rows[q[near], 0]
+            yield np.maximum(p, q), np.minimum(p, q)
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, hold: int = HOLD) -> DataFrame:
@@ -132,15 +174,14 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch_of(shingle_set(t.as_py(), shingle)) for t in batch.column("text")]
-            x, y, at = zip(*found) if found else ([], [], [])
-            fp = np.array([fingerprint_of(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(fp), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(at, pa.binary())], names=["doc_id", "same", "fp", "x", "y", "anchors"])
+            found = [sketches_of(t.as_py(), shingle) for t in batch.column("text")]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), *(pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 5, kinds))], names=["doc_id", "same", "fp", "x", "y", "anchors", "bins"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("same", F.xxhash64("text"))
-    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, fp long, x long, y long, anchors binary"), "sketches")
-    points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors")), "points")
+    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, fp long, x long, y long, anchors binary, bins binary"), "sketches")
+    points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors"), F.min("bins").alias("bins")), "points")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "x", "y", "component"]
@@ -188,36 +229,30 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def propose_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All near pairs of an anchor in different components, and the points themselves of one with too many; rows come sorted by anchor."""
+        """All near pairs of an anchor in different components, and the points themselves of one with too many (as a); rows come sorted by anchor."""
         anchor, block, large = None, [], False
-
-        def out(a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
-            columns = [pa.nulls(len(a), pa.int64())] * 4 if rows is None else [pa.array(np.full(len(a), anchor)), *(pa.array(rows[:, k]) for k in (1, 2, 3))]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *columns], names=["a", "b", "anchor", "x", "y", "component"])
+        none = np.zeros(0, dtype=np.int64)
 
         def settle() -> Iterator[pa.RecordBatch]:
-            points = np.concatenate(block) if block else np.zeros((0, 4), dtype=np.int64)
+            points = _Points.of(block)
             if large:
-                yield out(points[:, 0], points[:, 0], points)
-            elif len(points):
-                for a, b in _across(points, points):
-                    yield out(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(points.rows[:, 0]), pa.nulls(len(points.rows), pa.int64()), pa.array(np.full(len(points.rows), anchor))], names=["a", "b", "anchor"])
+                return
+            for a, b in _across(points, points, similarity) if block else ((none, none),):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "anchor"])
 
         for batch in batches:
             key = batch.column("anchor").to_numpy()
             if not len(key):
                 continue
-            rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+            rows, bins = _rest_rows(batch)
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            end = np.append(start[1:], len(key))
-            several = np.minimum.reduceat(rows[:, 3], start) != np.maximum.reduceat(rows[:, 3], start)
-            several[[0, -1]] = True
-            for s, e in zip(start[several].tolist(), end[several].tolist()):
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
                 if key[s] != anchor:
                     yield from settle()
                     anchor, block, large = key[s], [], False
-                block.append(rows[s:e])
-                if sum(map(len, block)) > hold:
+                block.append((rows[s:e], bins[s:e]))
+                if sum(len(x) for x, _ in block) > hold:
                     large = True
                     yield from settle()
                     block = []
@@ -229,19 +264,19 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
         def settle() -> Iterator[pa.RecordBatch]:
             if place is not None:
-                left, right = (np.concatenate(sides[k]) if k in sides else np.zeros((0, 4), dtype=np.int64) for k in place[1:])
-                for a, b in _across(left, left if place[1] == place[2] else right):
+                left, right = (_Points.of(sides.get(k, [])) for k in place[1:])
+                for a, b in _across(left, left if place[1] == place[2] else right, similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in ("anchor", "low", "high", "own")], axis=1)
-            rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+            rows, bins = _rest_rows(batch)
             start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, dtype=int)
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
                 if (at := tuple(keys[s, :3].tolist())) != place:
                     yield from settle()
                     place, sides = at, {}
-                sides.setdefault(int(keys[s, 3]), []).append(rows[s:e])
+                sides.setdefault(int(keys[s, 3]), []).append((rows[s:e], bins[s:e]))
         yield from settle()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +309,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         discard(sets)
         return out
 
-    def apart(rest: DataFrame) -> DataFrame:
-        """The near pairs of anchors with more points than a task may hold, by a task for each two blocks of them."""
-        subs = rest.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(hold)).cast("int").alias("subs"))
-        own = rest.select("anchor", F.col("a").alias("node"), "x", "y", "component").join(subs, "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("subs")))
+    def apart(large: DataFrame, about: DataFrame) -> DataFrame:
+        """The near pairs of anchors with more points (anchor, node) than a task may hold, by a task for each two blocks of them."""
+        subs = large.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(hold)).cast("long").alias("subs"))
+        own = large.join(subs, "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("subs")))
         met = own.withColumn("other", F.explode(F.expr("sequence(0L, subs - 1L)"))).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-        return met.select("anchor", "low", "high", "own", "node", "x", "y", "component").repartition(n, "anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "own").mapInArrow(propose_blocks, "a long, b long")
+        rows = met.select("anchor", "low", "high", "own", "node").join(about, "node").repartition(n, "anchor", "low", "high")
+        return rows.sortWithinPartitions("anchor", "low", "high", "own").mapInArrow(propose_blocks, "a long, b long")
 
     def met(labelled: DataFrame) -> DataFrame:
         return labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
@@ -294,11 +330,15 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     copies = of.join(points, ["same", "x", "y", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = copies.unionByName(sure(nearest))
     roots = components(found)
-    labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", F.coalesce("root", "node").alias("component"))
-    left = materialise(met(labelled).mapInArrow(propose_rest, "a long, b long, anchor long, x long, y long, component long"), "left")
-    large, pairs = left.where("anchor IS NOT NULL"), left.where("anchor IS NULL").select("a", "b")
+    labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", "bins", F.coalesce("root", "node").alias("component"))
+    at_bands = labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").select("anchor", "node", "component")
+    several = materialise(at_bands.groupBy("anchor").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("anchor"), "several")
+    about = labelled.select("node", "x", "y", "component", "bins")
+    some = at_bands.select("anchor", "node").join(several, "anchor", "left_semi").join(about, "node").repartition(n, "anchor").sortWithinPartitions("anchor")
+    left = materialise(some.mapInArrow(propose_rest, "a long, b long, anchor long"), "left")
+    large, pairs = left.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("node")), left.where("anchor IS NULL").select("a", "b")
     if not large.isEmpty():
-        pairs = pairs.unionByName(apart(large))
+        pairs = pairs.unionByName(apart(large, about))
     rest = materialise(pairs.where("a <> b").distinct().join(nearest, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         roots = components(found.unionByName(sure(rest)))
