@@ -8,9 +8,9 @@ from sievelake.operators import evaluate as ev
 from sievelake.operators import summarize as sm
 from sievelake.operators.detect import Options, detect, detect_arrow
 from sievelake.operators.merge import merge
-from sievelake.operators.redact import redact
-from sievelake.operators.tagger import normalise, run_tagger
-from sievelake.operators.validate import validate
+from sievelake.operators.redact import redact, redact_texts
+from sievelake.operators.tagger import first_that_loads, join_tokens, normalise, run_tagger
+from sievelake.operators.validate import drop_invalid, validate
 from sievelake.plans.engine import Engine
 from sievelake.plans.notes import CASES, COVERAGE
 
@@ -41,7 +41,8 @@ def test_every_example_has_the_form_of_its_category(spark):
     assert catalog(spark).count() == 22
 
 
-def test_load_forms_marks_broken_ones():
+def test_load_forms_marks_broken_ones(spark):
+    assert load_forms('{"A": {"regex": "^(?P<q>ab)$"}, "B": 3, "C": {"regex": 1}, "D": {"regex": "^(?<q>ab)$"}}') == {"A": None, "B": None, "C": None, "D": "^(?<q>ab)$"}  # Java matches them
     assert load_forms('{"A": {"regex": "^a$"}, "B": {"regex": "("}, "C": {}}') == {"A": "^a$", "B": None, "C": None}
     assert load_forms("no json") == {} and load_forms("[1]") == {}
     assert [p.regex for p in detectors(forms={"NEW": "^n$", "OLD": None})] == ["(?i)^n$"]
@@ -67,6 +68,41 @@ def test_both_engines_agree(spark, docs, variant, profile):
     assert rows(detect(both, options)) == rows(detect_arrow(both, options))
 
 
+def test_long_texts_and_marks(spark, monkeypatch):
+    from sievelake.functions import spans
+
+    long = "Anna Bell and Carl Dorn met at 10:30, mail a@b.cc. " * 400
+    some = [(1, long), (2, "\uffffAnna\ufffe Bell\uffff a@b.cc"), (3, "A1 Anna_Bell Anna Bell1 x"), (4, "word " * 30_000), (None, "Anna Bell"), (None, "a@b.cc Anna Bell"), (1, "x Anna Bell")]
+    docs = spark.createDataFrame(some, DOCS)
+    options = Options(use_names=True, categories=("FULLNAME", "EMAIL", "TIME", "CITY"))
+    want = rows(detect_arrow(docs, options))
+    for size in (512, 2):
+        if size == 2:
+            some = some[1:3] + some[4:] + [(1, long[:600])]
+            docs = spark.createDataFrame(some, DOCS)
+            want = rows(detect_arrow(docs, options))
+        monkeypatch.setattr(spans, "SLICE", size)
+        got = rows(detect(docs, options))
+        assert [x for x in got if "\uffff" not in x[3] and "\ufffe" not in x[3]] == [x for x in want if "\uffff" not in x[3] and "\ufffe" not in x[3]] and len(got) == len(want) > 20
+
+
+def test_nothing_is_shuffled(docs):
+    for df in (detect(docs, Options()), validate(detect(docs, Options())), redact_texts(docs, Options())):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_pattern_that_is_rewritten_finds_the_same(spark):
+    """Random texts of the signs that repetitions and boundaries turn on, against the patterns as they are."""
+    import random
+
+    rng = random.Random(6)
+    parts = ["Ab", "abc", "X", "a1", " ", "  ", "\n", "_", ".", "é", "Name", "name:", "CITY", " : ", "card number", "pan  number", "M", "Female", "12", "123456", "9876543210", "Road", "Park", "a@b.c-d", "-"]
+    docs = spark.createDataFrame([(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))) for i in range(400)], DOCS)
+    for variant in ("library", "service", "strict"):
+        options = Options(variant=variant, use_names=True)
+        assert rows(detect(docs, options)) == [x for x in rows(detect_arrow(docs, options))]
+
+
 def test_spans_are_code_points(docs):
     found = detect(docs, Options()).join(docs, "doc_id")
     assert found.where(F.expr("substring(text, start + 1, end - start)") != F.col("word")).isEmpty()
@@ -133,6 +169,89 @@ def test_redaction(spark, docs):
     assert {r.doc_id: r.redacted for r in redact(docs, apart, "*").collect()}[6] == "😀 mail * And *"
 
 
+def test_redaction_of_odd_rows(spark):
+    rows_ = [(None, "n@n.nn and o@o.oo"), (1, "zz mail q@w.ee"), (1, "a@b.cc"), (None, None), (2, ""), (3, "none")]
+    docs = spark.createDataFrame(rows_, DOCS)
+    options = Options(use_contextual=False, categories=("EMAIL",))
+    want = [(None, "# and #"), (1, "zz mail #"), (1, "#"), (None, None), (2, ""), (3, "none")]
+    for mode in ("safe", "exact"):
+        got = [(r.doc_id, r.redacted) for r in redact_texts(docs, options, "#", mode).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    table = detect(docs.where("doc_id IS NULL"), options)
+    assert [r.redacted for r in redact(docs.where("text LIKE 'n@%'"), table, "#").collect()] == ["# and #"]
+    assert sorted((r.start, r.word) for r in detect(docs, options).where("doc_id = 1").collect()) == [(0, "a@b.cc"), (8, "q@w.ee")]
+
+
+def test_safe_redaction_against_python(spark, monkeypatch):
+    import random
+
+    from sievelake.functions import spans
+
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(200)))) for i in range(60)]
+    found = []
+    for i, t in texts:
+        for k in range(rng.randrange(30)):
+            s = rng.randrange(len(t) + 1)
+            found.append((i, k, s, min(len(t), s + rng.randrange(1, 9))))
+    docs, spans_ = spark.createDataFrame(texts, DOCS), spark.createDataFrame(found, "doc_id long, seq int, start int, end int")
+
+    def python(i, t):
+        out, reach = "", 0
+        for s, e in sorted({x[2:] for x in found if x[0] == i}):
+            if s >= reach:
+                out += t[reach:s] + "[X]"
+            reach = max(reach, e)
+        return out + t[reach:]
+
+    def spliced(i, t):
+        for _, _, s, e in sorted((x for x in found if x[0] == i), key=lambda x: (-x[2], x[1])):
+            t = t[:s] + "[X]" + t[e:]
+        return t
+
+    for size in (512, 4):
+        monkeypatch.setattr(spans, "SLICE", size)
+        assert {r.doc_id: r.redacted for r in redact(docs, spans_, "[X]").collect()} == {i: python(i, t) for i, t in texts}
+    assert {r.doc_id: r.redacted for r in redact(docs, spans_, "[X]", "exact").collect()} == {i: spliced(i, t) for i, t in texts}
+
+
+def test_forms_hold_from_the_start_and_for_all_digits(spark):
+    some = [(1, "A", "xx12", 0.9), (2, "A", "12xx", 0.9), (3, "AGE", "٢٨", 0.9), (4, "CITY", "New\u00a0Delhi", 0.9), (5, "ZIPCODE", "110001\n", 0.9)]
+    df = spark.createDataFrame(some, "doc_id long, entity_group string, word string, score double")
+    forms = {"A": "[0-9]+", **{c: FORMS[c] for c in ("AGE", "CITY", "ZIPCODE")}}
+    want = {i: bool(re.match(forms[c], w)) for i, c, w, _ in some}
+    assert {r.doc_id: r.status == "VALID" for r in validate(df, forms=forms).collect()} == want == {1: False, 2: True, 3: True, 4: True, 5: True}
+    assert sorted(r.doc_id for r in drop_invalid(df, forms=forms).collect()) == [2, 3, 4, 5] and drop_invalid(df.withColumn("score", F.lit(0.0)), forms=forms).count() == 4
+
+
+def test_models_that_are_loaded_count(spark, docs):
+    raw = spark.createDataFrame([(1, "bert", 0, "CITY", None, "Its own", "0.9", "0", "4")], "doc_id long, model string, i int, entity_group string, entity string, word string, score string, start string, end string")
+    found = normalise(docs, raw, own_words=True)
+    assert found.first().word == "Its own" and normalise(docs, raw).first().word == "Some"
+    engine = Engine(spark, Options(categories=("EMAIL",), use_contextual=False), found, ("ml_bert", "ml_llama"))
+    assert {r.doc_id: r.methods_used for r in engine.summarize(docs).collect()} == {1: ["ml_bert", "ml_llama"], 2: ["ml_bert", "ml_llama"], 3: ["ml_bert", "ml_llama"], 4: ["ml_bert", "ml_llama"], 5: ["ml_bert", "ml_llama"], 6: ["ml_bert", "ml_llama", "regex"]}
+    assert engine.anonymize(docs, "#").where("doc_id = 1").first().redacted.startswith("# random")
+
+
+def test_loading_in_several_ways():
+    def fails():
+        raise OSError("no weights")
+
+    assert first_that_loads(fails, lambda: "model", fails)() == "model"
+    with pytest.raises(OSError, match="weights"):
+        first_that_loads(fails, fails)()
+
+
+def test_joining_tokens(spark):
+    tokens = [(1, "m", 0, "B-X", 0.5, 0, 3, False), (1, "m", 1, "I-Y", 0.7, 3, 5, True), (1, "m", 2, "I-X", 1.0, 6, 8, False), (1, "m", 3, "B-X", 0.4, 9, 10, False), (1, "m", 4, None, 0.9, 11, 12, False)]
+    df = spark.createDataFrame(tokens, "doc_id long, model string, i int, label string, score double, start int, end int, inside boolean")
+    got = {s: sorted((r.i, r.entity_group, float(r.score), int(r.start), int(r.end)) for r in join_tokens(df, s).collect()) for s in ("simple", "first")}
+    assert got["simple"] == [(0, "X", 0.5, 0, 3), (1, "Y", 0.7, 3, 5), (2, "X", 1.0, 6, 8), (3, "X", 0.4, 9, 10)]
+    assert got["first"] == [(0, "X", 0.75, 0, 8), (1, "X", 0.4, 9, 10)]
+    with pytest.raises(ValueError, match="strategy"):
+        join_tokens(df, "max")
+
+
 def test_tagger_and_normalisation(spark, docs):
     def load():
         def model(text):
