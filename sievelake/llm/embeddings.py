@@ -2,7 +2,7 @@
 
 Coarse inverted lists and the codebooks of residual subspaces are fitted on a
 bounded sample (SAMPLE); every vector is indexed. A label has lists by its own size:
-1, 4, 16 and so on, one for SHARE vectors at least. A vector is an entry of the
+1, 2, 4 and so on, one for SHARE vectors at least. A vector is an entry of the
 list of its nearest centroid h, and a query to those lists c whose cell comes so
 near that they can hold a partner: d(x, c)**2 - d(x, h)**2 <= 2 * r * |c - h|,
 where r is the distance that the threshold allows. The left side is linear in x
@@ -145,9 +145,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
     if dims is not None:
         few = entries.where(F.octet_length("raw") == dims["bytes"]).orderBy(F.xxhash64("raw"), "key").limit(sample).select("raw").toArrow()
         units, largest = _unit([x.as_py() for x in few.column("raw")], kind), sizes.agg(F.max("size")).first()[0]
-        while 4 ** len(indexes) <= max(1, min(largest // SHARE, len(units) // 4)):
-            indexes.append(Index.fit(units, 4 ** len(indexes)))
-    scale = F.least(F.lit(len(indexes) - 1), F.expr(f"cast(floor(log(4.0D, greatest(1.0D, size / {SHARE})) + 1e-9D) AS int)"))
+        while 2 ** len(indexes) <= max(1, min(largest // SHARE, len(units) // 4)):
+            indexes.append(Index.fit(units, 2 ** len(indexes)))
+    scale = F.least(F.lit(len(indexes) - 1), F.expr(f"cast(floor(log2(greatest(1.0D, size / {SHARE})) + 1e-9D) AS int)"))
     size = np.dtype(kind).itemsize
     width = 0 if dims is None else dims["bytes"] // size
     n = partitions(spark)
