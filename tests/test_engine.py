@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from parity import CASES, COVERAGE
 from pyspark.sql import functions as F
 
 from sievelake.functions.catalog import CATEGORIES, FORMS, catalog, detectors, labelled, load_forms
@@ -12,7 +13,6 @@ from sievelake.operators.redact import redact, redact_texts
 from sievelake.operators.tagger import first_that_loads, join_tokens, normalise, run_tagger
 from sievelake.operators.validate import drop_invalid, validate
 from sievelake.plans.engine import Engine
-from sievelake.plans.notes import CASES, COVERAGE
 
 TEXTS = [
     (1, "Some random data: 1234 - 5678 - and 9012"),
