@@ -181,6 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "redact_exact": _spliced(_TEXTS, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {found_sql(_TEXTS, profile='as_written', use_contextual=False)} GROUP BY doc_id"),
         "redact_safe": _spliced(_NOTES, _safe_spans(f"(SELECT * FROM {judged_sql(_IN_NOTES)} WHERE status = 'VALID')")),
         "redact_conversations": _spliced(_TURNS, _safe_spans(found_sql(_TURNS, use_contextual=False, categories=IN_TURNS))),
+        "redact_documents": _spliced("documents", _safe_spans(f"(SELECT * FROM {judged_sql(_IN_DOCUMENTS)} WHERE status = 'VALID')")),
         "redact_by_model": _spliced(_TEXTS, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {_TAGGED} GROUP BY doc_id"),
         "redact_exact_notes": _spliced(_NOTES, f"SELECT doc_id, list({{'t': '', 's': start, 'e': stop}} ORDER BY start DESC, seq) AS spans FROM {found_sql(_NOTES, profile='as_written', use_contextual=False, categories=('GIVENNAME', 'SURNAME'))} GROUP BY doc_id"),
         "rollup_all_categories": f"SELECT priority, entity_group, count(*) AS n FROM {judged_sql(found_sql(_NOTES))} JOIN {_NOTES} USING (doc_id) GROUP BY ROLLUP (priority, entity_group)",
@@ -195,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "validate_batch": _digest(f"(SELECT * FROM {judged_sql(found_sql(_NOTES, variant='service'))} WHERE valid)", "entity_group"),
         "validate_cross_notes": f"SELECT original_category, entity_group, status, count(*) AS n, count(DISTINCT word) AS words FROM {judged_sql(found_sql(_NOTES, variant='service'), cross=True)} GROUP BY ALL",
         "detect_unknown_categories": _digest(f"(SELECT *, 0 AS seq FROM {spans_sql('(SELECT o_orderkey AS doc_id, o_orderpriority AS text FROM orders)', detectors(forms=OWN_FORMS))})", "entity_group"),
-        "detect_by_sql": f'SELECT doc_id, entity_group, word, start, stop AS "end" FROM {found_sql(_TURNS, use_contextual=False, categories=IN_TURNS)}',
+        "detect_by_sql": f'SELECT doc_id, entity_group, word, start, stop AS "end" FROM {found_sql(_NOTES, use_contextual=False, categories=IN_TURNS)}',
         "detect_by_python": _digest(found_sql(_NOTES, use_contextual=False), "entity_group, method"),
         "json_results": f"SELECT entity_group, status, count(*) AS n, count(DISTINCT doc_id) AS docs, round(avg(score), 6) AS avg_score FROM {judged_sql(_IN_DOCUMENTS)} GROUP BY ALL",
         "clean_docs": f"SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM {_IN_DOCUMENTS}) GROUP BY lang",

@@ -174,6 +174,10 @@ def redact_conversations(spark, sf_dir):
     return redact_texts(_turns(spark, sf_dir), Options(use_contextual=False, categories=IN_TURNS), check=False).select("doc_id", "redacted")
 
 
+def redact_documents(spark, sf_dir):
+    return redact_texts(_documents(spark, sf_dir), Options(use_contextual=False, categories=IN_DOCUMENTS)).select("doc_id", "redacted")
+
+
 def redact_by_model(spark, sf_dir):
     docs = _coverage(spark)
     return redact(docs, normalise(docs, _tagged(spark)), mode="exact").select("doc_id", "redacted")
@@ -284,7 +288,7 @@ def detect_unknown_categories(spark, sf_dir):
 
 def detect_by_sql(spark, sf_dir):
     Engine(spark, Options(use_contextual=False, categories=IN_TURNS)).register("detect_pii")
-    return spark.sql("SELECT d.doc_id, p.entity_group, p.word, p.start, p.end FROM {docs} d, LATERAL detect_pii(d.text) p", docs=_turns(spark, sf_dir))
+    return spark.sql("SELECT d.doc_id, p.entity_group, p.word, p.start, p.end FROM {docs} d, LATERAL detect_pii(d.text) p", docs=notes(spark, sf_dir))
 
 
 def detect_by_python(spark, sf_dir):
@@ -307,7 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalog_overview, detect_email, detect_account, detect_fullname, detect_all_regex, detect_library_regex, detect_contextual, detect_names, detect_as_written, union_methods,
         validate_strict, validate_cross, relabel, filter_confidence, merge_islands, summary_by_doc, summary_of_entities, summary_by_category, corpus_rollup, group_display,
         redact_exact, redact_safe, redact_conversations, clean_docs, docs_with_category, topk_exposed_docs, preview, ml_normalize, coverage_ratio, metrics_averages,
-        evaluate_gold_vs_pred, span_conflicts, rollup_all_categories, redact_exact_notes, redact_by_model, ml_join_simple, ml_join_first, report_rows, catalog_described, status, blank_texts,
+        evaluate_gold_vs_pred, span_conflicts, rollup_all_categories, redact_exact_notes, redact_documents, redact_by_model, ml_join_simple, ml_join_first, report_rows, catalog_described, status, blank_texts,
         merge_confident, validate_batch, validate_cross_notes, detect_unknown_categories, detect_by_sql, detect_by_python, json_results,
     ]
     return {f.__name__: f for f in own}
