@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
@@ -87,7 +87,7 @@ def _written(chain: tuple | None) -> str:
 class Wanted:
     """Words and word beginnings that are looked for, by what tells that a token may be read as one."""
 
-    def __init__(self, words: Iterable[str], beginnings: Iterable[str] = (), remember: int = 200_000) -> None:
+    def __init__(self, words: Iterable[str], beginnings: Iterable[str] = ()) -> None:
         words = set(words)
         self.runs: dict[str, list[str]] = {}  # words by what they are with runs shortened
         for w in sorted(words):
@@ -95,31 +95,29 @@ class Wanted:
         self.prefixes = {w[:n] for w in self.runs for n in range(1, len(w))}
         self.run_beginnings = {_RUN.sub(r"\1", w) for w in beginnings}
         self.longest = max(map(len, self.run_beginnings), default=0)
-        self.known: dict[str, str] = {}
-        self.remember = remember
 
     def plain(self, token: str) -> str:
         """A token with letters for signs and without runs."""
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            found = self.known[token] = _RUN.sub(r"\1", token.strip(EDGES).translate(_FIRST))
-        return found
+        return _RUN.sub(r"\1", token.strip(EDGES).translate(_FIRST))
+
+    def begins(self, token: str) -> bool:
+        """Whether one of the words may begin with a token and go on."""
+        if token.isalpha() and (len(token) == 1 or token[0] != token[1] and token[:2] not in self.prefixes):
+            return token in self.prefixes
+        return self.plain(token) in self.prefixes
 
     def repeated(self, token: str) -> bool:
         """Whether a token, its runs shortened, may be one of the words or begin like one."""
         plain = _RUN.sub(r"\1", token)
         return plain in self.runs or any(plain[:n] in self.run_beginnings for n in range(1, min(len(plain), self.longest) + 1))
 
-    def split(self, tokens: list[str]) -> Iterable[tuple[str, str]]:
-        """The words that consecutive tokens may make up, and these tokens."""
-        every = [self.plain(x) for x in tokens]
-        for i, whole in enumerate(every):
-            if whole not in self.prefixes:
-                continue
+    def split(self, tokens: list[str], starts: Iterable[int]) -> Iterable[tuple[str, str]]:
+        """The words that consecutive tokens may make up, from the places given, and these tokens."""
+        for i in starts:
+            whole = self.plain(tokens[i])
             for j in range(i + 1, len(tokens)):
-                whole += every[j][whole[-1:] == every[j][:1] :]
+                more = self.plain(tokens[j])
+                whole += more[whole[-1:] == more[:1] :]
                 for word in self.runs.get(whole, ()):
                     yield word, " ".join(x.strip(EDGES) for x in tokens[i : j + 1])
                 if whole not in self.prefixes:
@@ -129,17 +127,22 @@ class Wanted:
 _FIRST = str.maketrans({c: x[0] for c, x in LOOKS.items()})
 
 
+#: What is remembered of a token without words to give that doesn't begin a word.
+_NOTHING: tuple[tuple[str, ...], bool] = ((), False)
+
+
 class Restorer:
     """Restores the words of texts; remembers what it has decoded.
 
     The table of decoded words starts anew when it is full, so its size is bounded.
+    With ``keep``, words that it is false for are left out of all results.
     """
 
-    def __init__(self, model: np.ndarray, remember: int = 200_000, wanted: Wanted | None = None) -> None:
+    def __init__(self, model: np.ndarray, remember: int = 200_000, wanted: Wanted | None = None, keep: Callable[[str], bool] | None = None) -> None:
         self.model = model.tolist()
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[tuple[str, ...], bool]] = {}
         self.remember = remember
-        self.wanted = wanted
+        self.wanted, self.keep = wanted, keep
 
     def _edges(self, s: str, i: int, end: int) -> list[tuple[int, str, float]]:
         """Where the paths at i lead to, what they write, and what the channel takes for it; the run of equal signs ends at end."""
@@ -195,38 +198,51 @@ class Restorer:
         top = max(x for x, _ in last)
         return max(_written(chain) for x, chain in last if x == top)
 
+    def _words(self, token: str) -> list[str]:
+        if token.isalpha() and not _DOUBLED.search(token):
+            return [token]
+        core = _EDGE_RUN.sub("", token).strip(EDGES)
+        parts = _LETTERS.findall(core)
+        lone = len(parts) > 2 and max(map(len, parts)) == 1
+        if parts and (lone or _SEVERAL.search(core) or (len(parts[0]) != len(core) and _SUSPECT.search(core))):
+            pieces = [] if lone else [x for x in _BETWEEN.split(core) if x and x != core]
+            parts = _LETTERS.findall(self.decode(core))
+            for x in pieces:
+                parts += self._words(x)
+        elif len(parts) > 1 and _SEPARATED.search(core):
+            parts += _LETTERS.findall(self.decode(core))
+        if self.wanted and _DOUBLED.search(core) and self.wanted.repeated(core):
+            parts += _LETTERS.findall(self.decode(core))
+        return parts
+
+    def _learn(self, token: str) -> tuple[tuple[str, ...], bool]:
+        if len(self.known) >= self.remember:
+            self.known.clear()
+        found = tuple(w for w in self._words(token) if self.keep is None or self.keep(w))
+        begins = self.wanted is not None and self.wanted.begins(token)
+        out = self.known[token] = (found, begins) if found or begins else _NOTHING
+        return out
+
     def words(self, token: str) -> tuple[str, ...]:
         """The words that a token (small letters, no white space) stands for."""
-        found = self.known.get(token)
-        if found is None:
-            core = _EDGE_RUN.sub("", token).strip(EDGES)
-            parts = _LETTERS.findall(core)
-            lone = len(parts) > 2 and max(map(len, parts)) == 1
-            if parts and (lone or _SEVERAL.search(core) or (len(parts[0]) != len(core) and _SUSPECT.search(core))):
-                pieces = [] if lone else [x for x in _BETWEEN.split(core) if x and x != core]
-                parts = _LETTERS.findall(self.decode(core))
-                for x in pieces:
-                    parts += self.words(x)
-            elif len(parts) > 1 and _SEPARATED.search(core):
-                parts += _LETTERS.findall(self.decode(core))
-            if self.wanted and _DOUBLED.search(core) and self.wanted.repeated(core):
-                parts += _LETTERS.findall(self.decode(core))
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            found = self.known[token] = tuple(parts)
-        return found
+        return (self.known.get(token) or self._learn(token))[0]
 
     def restore(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text, with what spaced-out letters spell."""
         low = (text or "").lower()
         out: set[str] = set()
         tokens = low.split()
+        known, starts = self.known, set()
         for token in set(tokens):
-            out.update(self.words(token))
+            found = known.get(token) or self._learn(token)
+            if found is not _NOTHING:
+                out.update(found[0])
+                if found[1]:
+                    starts.add(token)
         for m in (*SPACED.finditer(low), *APART.finditer(low)):
             out.update(self.words(" ".join(m[0].split())))
-        if self.wanted:
-            for word, split in self.wanted.split(tokens):
+        if starts:
+            for word, split in self.wanted.split(tokens, [i for i, x in enumerate(tokens) if x in starts]):
                 if word not in out and word in _LETTERS.findall(self.decode(split)):
                     out.add(word)
         return out

@@ -130,7 +130,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     weights, slope, offset = fit(rows, learned.column("keys").to_pylist(), y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model, wanted=Wanted((w for w in weights if not w.endswith("*")), (w[:-1] for w in weights if w.endswith("*"))))
+        wanted = Wanted((w for w in weights if not w.endswith("*")), (w[:-1] for w in weights if w.endswith("*")))
+        restorer = Restorer(model, wanted=wanted, keep=lambda w: any(s in weights for s in signs(w)))
         strongest: dict[str, float] = {}
         for batch in batches:
             scores = []
