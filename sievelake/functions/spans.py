@@ -6,8 +6,8 @@ in turn. Their lengths, summed in order, give the offsets. So the findings of a
 are an array beside it: nothing is shuffled, rows needn't have an id, and the same
 expression runs on a stream.
 
-The sums are folds that append to an array, which takes time by the square of its
-length; so long arrays are folded in slices, each from the sum of what comes before it.
+The sums take time by the square of their number; so long arrays are summed in slices,
+each from the sum of what comes before it.
 The mark is a code point that is no character; where a text has it, it is another one
 of these while matches are looked for.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .catalog import Pattern
 
 _MARK, _OTHER = "￿", "￾"
-#: Elements that are folded in one go; even, as findings are every second one.
-SLICE = 512
+#: Elements that are summed or folded in one go; even, as findings are every second one.
+SLICE = 128
 FINDING = "struct<entity_group: string, word: string, start: int, end: int, score: double, method: string>"
 
 
@@ -74,17 +74,20 @@ def _two_groups(regex: str) -> str:
 
 def _placed(parts: Column) -> Column:
     """Start, end and word of the findings among what lies between and findings in turn."""
-    kind = "struct<start: int, end: int, word: string>"
 
-    def fold(some: Column, base: Column, _: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + F.length(x)
-            found = F.struct(acc["at"].alias("start"), end.alias("end"), x.alias("word"))
-            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def placed(some: Column, base: Column, _: Column | None = None) -> Column:
+        def one(lengths: Column) -> Column:
+            def at(i: Column) -> Column:
+                start = F.aggregate(F.slice(lengths, F.lit(1), i), base, lambda acc, x: acc + x)
+                return let(start, lambda s: F.struct(s.alias("start"), (s + F.get(lengths, i)).alias("end"), F.get(some, i).alias("word")))
 
-        return F.aggregate(some, F.struct(base.alias("at"), F.lit(False).alias("hit"), empty(kind).alias("out")), step, lambda acc: acc["out"])
+            return F.transform(F.sequence(F.lit(1), F.size(lengths) - 1, F.lit(2)), at)
 
-    return in_slices(parts, lambda some: F.aggregate(some, F.lit(0), lambda acc, x: acc + F.length(x)), fold, F.lit(0))
+        none = empty("struct<start: int, end: int, word: string>")
+        return F.when(F.size(some) > 1, let(F.transform(some, F.length), one)).otherwise(none)
+
+    total = lambda some: F.aggregate(some, F.lit(0), lambda acc, x: acc + F.length(x))
+    return F.when(F.size(parts) <= SLICE, placed(parts, F.lit(0))).otherwise(in_slices(parts, total, placed, F.lit(0)))
 
 
 def _needs(p: Pattern) -> tuple[str, ...]:
@@ -102,9 +105,9 @@ def _needs(p: Pattern) -> tuple[str, ...]:
 
 
 def matches(text: Column, low: Column, digit: Column, p: Pattern) -> Column:
-    """Start, end and word of what a pattern finds in a text; null if that is nothing. low is the text in small letters, digit whether it has one."""
+    """Start, end and word of what a pattern finds in a text without marks; null if that is nothing. low is the text in small letters, digit whether it has one."""
     regex, marked = (_two_groups(steady(p.regex)), f"$1{_MARK}$2{_MARK}") if p.group else (steady(p.regex), f"{_MARK}$0{_MARK}")
-    found = let(F.regexp_replace(F.translate(text, _MARK, _OTHER), F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), _placed(F.split(x, _MARK, -1))))
+    found = let(F.regexp_replace(text, F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), _placed(F.split(x, _MARK, -1))))
     needed = [digit if x == "0" else F.contains(low, F.lit(x)) for x in _needs(p)]
     some = None
     for x in needed:
@@ -128,8 +131,9 @@ def findings(text: Column, patterns: list[Pattern]) -> Column:
         one = lambda m: F.struct(F.lit(p.category).alias("entity_group"), m["word"].alias("word"), m["start"].alias("start"), m["end"].alias("end"), F.lit(p.score).alias("score"), F.lit(p.method).alias("method"))
         return F.coalesce(F.transform(found, one), empty(FINDING))
 
-    def by_key(low: Column, digit: Column) -> Column:
-        every = F.array(*(matches(text, low, digit, at[key][0]) for key in keys))
+    def by_key(plain: Column, low: Column, digit: Column) -> Column:
+        every = F.array(*(matches(plain, low, digit, at[key][0]) for key in keys))
         return let(every, lambda m: F.concat(*(labelled(p, F.get(m, F.lit(keys.index((p.regex, p.group))))) for p in patterns)))
 
-    return let(F.lower(text), lambda low: let(F.rlike(text, F.lit("[0-9]")), lambda digit: by_key(low, digit)))
+    unmarked = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)
+    return let(unmarked, lambda plain: let(F.lower(plain), lambda low: let(F.rlike(plain, F.lit("[0-9]")), lambda digit: by_key(plain, low, digit))))

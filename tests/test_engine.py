@@ -76,7 +76,7 @@ def test_long_texts_and_marks(spark, monkeypatch):
     docs = spark.createDataFrame(some, DOCS)
     options = Options(use_names=True, categories=("FULLNAME", "EMAIL", "TIME", "CITY"))
     want = rows(detect_arrow(docs, options))
-    for size in (512, 2):
+    for size in (128, 2):
         if size == 2:
             some = some[1:3] + some[4:] + [(1, long[:600])]
             docs = spark.createDataFrame(some, DOCS)
@@ -209,7 +209,7 @@ def test_safe_redaction_against_python(spark, monkeypatch):
             t = t[:s] + "[X]" + t[e:]
         return t
 
-    for size in (512, 4):
+    for size in (128, 4):
         monkeypatch.setattr(spans, "SLICE", size)
         assert {r.doc_id: r.redacted for r in redact(docs, spans_, "[X]").collect()} == {i: python(i, t) for i, t in texts}
     assert {r.doc_id: r.redacted for r in redact(docs, spans_, "[X]", "exact").collect()} == {i: spliced(i, t) for i, t in texts}
