@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -97,6 +98,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives the memory that it has freed back to the system: it stays for later tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return inner
+
+
 def column(name: str) -> Column:
     """The column of just this name, whatever signs it has."""
     return F.col(f"`{name.replace('`', '``')}`")
@@ -106,11 +119,18 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """mapInArrow over all columns, by place, whatever their names are; run gives them back, with more at the end."""
     schema = StructType([StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate([*df.schema.fields, *(more.fields if more else ())])])
     plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
-    return plain.mapInArrow(run, schema).toDF(*df.columns, *(more.names if more else ()))
+    return plain.mapInArrow(released(run), schema).toDF(*df.columns, *(more.names if more else ()))
+
+
+#: Bytes of input, as Spark estimates them, that a shuffle partition is meant for at most.
+PARTITION = 1 << 28
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame) -> int:
+    """Partitions to deal out what comes from df: spark.sql.shuffle.partitions, or more if df is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # what isn't read from files has no estimate
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION) if known else 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grams, materialise, mix, prepare, unused, word_hashes
+from .common import column, grams, materialise, mix, prepare, released, unused, word_hashes
 
 #: Probes of the Bloom filter, and the powers of two that its bits are at least and at most; in between 64 bits a hash.
 PROBES, FILTER_BITS = 4, (16, 30)
@@ -144,7 +144,7 @@ def _pairs(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) ->
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc_id", "text", "item_id", "n_shingles", "n_shared"])
 
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "row long, doc_id long, text string, met array<struct<part: int, hash: long>>")
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(scan), "row long, doc_id long, text string, met array<struct<part: int, hash: long>>")
     passed = materialise(scanned, "passed")
     met = passed.select("row", F.explode("met").alias("m")).select("row", "m.part", "m.hash").join(sketches.select("item", "part", "hash"), ["part", "hash"]).select("row", "item").distinct()
     about = F.struct("item_id", "n", F.col("text").alias("text"))

@@ -17,7 +17,7 @@ Equal vectors of a label are one entry with a key of its own and a count. A long
 list is split into sub-lists of a bounded size, each met by all queries, which
 stream past; of two sub-lists of a list, the entries of one are queries to the other.
 Lists are as many as the sample can tell apart at most (a quarter of it), so beyond
-some two million different vectors of one label the work grows faster than they do.
+some million different vectors of one label the work grows faster than they do.
 Only link counts and the edges of a spanning forest leave a task, never pairs.
 """
 
@@ -42,7 +42,7 @@ SUBLIST, HELD = 8192, 1 << 22
 #: Subspaces, and codewords of each.
 PARTS, WORDS = 8, 64
 #: Vectors of a label that there is a list for. Short lists would cost more: in many dimensions a vector has to probe a share of the lists, however many there are.
-SHARE = 1024
+SHARE = 512
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -150,7 +150,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
     scale = F.least(F.lit(len(indexes) - 1), F.expr(f"cast(floor(log2(greatest(1.0D, size / {SHARE})) + 1e-9D) AS int)"))
     size = np.dtype(kind).itemsize
     width = 0 if dims is None else dims["bytes"] // size
-    n = partitions(spark)
+    n = partitions(vectors)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector as an entry of its list and as a query to those it has to probe; of odd lengths, as entries of a list for that length."""

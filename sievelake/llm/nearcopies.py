@@ -18,10 +18,10 @@ few links. In the second every pair at a band that the first left in different
 components is compared by sketch, so neither a nearer candidate that failed nor the
 size of a band hides one. A second sketch, of BINS one-permutation min-hashes, which
 comes only to bands with several components, leaves out pairs whose similarity it puts
-DEVIATIONS standard deviations below the one asked for. Bands with more points than a
-task may hold are taken apart: blocks of points, and a task for each two blocks. Only
-the shingles of documents with a link are shuffled, not texts: a bitmap tells the scan
-which documents these are.
+DEVIATIONS standard deviations below the one asked for, and a pair counts at the first
+band that it shares only. Bands with more points than a task may hold are taken apart:
+blocks of points, and a task for each two blocks. Only the shingles of documents with a
+link are shuffled, not texts: a bitmap tells the scan which documents these are.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, grams, materialise, mix, partitions, prepare, word_hashes
+from .common import column, discard, grams, materialise, mix, partitions, prepare, released, word_hashes
 from .components import components
 from .simhash import edges, majority
 
@@ -124,23 +124,25 @@ def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Points:
-    """Points of a band: rows of node, sketch (two longs) and component, and their bins."""
+    """Points of a band: rows of node, sketch (two longs) and component, their bins, and the anchors of all their bands."""
 
-    def __init__(self, rows: np.ndarray, bins: np.ndarray) -> None:
-        self.rows, self.bins = rows, bins
+    def __init__(self, rows: np.ndarray, bins: np.ndarray, anchors: np.ndarray) -> None:
+        self.rows, self.bins, self.anchors = rows, bins, anchors
 
     @classmethod
-    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> _Points:
-        return cls(np.concatenate([x[0] for x in parts] or [np.zeros((0, 4), dtype=np.int64)]), np.concatenate([x[1] for x in parts] or [np.zeros((0, BINS), dtype=np.uint8)]))
+    def of(cls, parts: list[tuple[np.ndarray, ...]]) -> _Points:
+        none = (np.zeros((0, 4), dtype=np.int64), np.zeros((0, BINS), dtype=np.uint8), np.zeros((0, MINS // BAND), dtype=np.int64))
+        return cls(*(np.concatenate(x) for x in zip(none, *parts)))
 
 
-def _rest_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _rest_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
-    return rows, np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+    bins, anchors = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=t).reshape(len(rows), -1) for k, t in (("bins", np.uint8), ("anchors", np.int64)))
+    return rows, bins, anchors
 
 
-def _across(left: _Points, right: _Points, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of all near pairs of a left and a right point in different components, the larger node first, in blocks."""
+def _across(left: _Points, right: _Points, anchor: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of all near pairs of a left and a right point in different components that meet at no earlier band, the larger node first, in blocks."""
     a, b = right.rows[:, 1].view(np.uint64), right.rows[:, 2].view(np.uint64)
     step = max(1, (1 << 21) // max(1, len(a)))
     for at in range(0, len(left.rows), step):
@@ -156,7 +158,10 @@ def _across(left: _Points, right: _Points, similarity: float) -> Iterator[tuple[
             either = np.maximum(1, ((u | v) > 0).sum(axis=1))
             alike = ((u == v) & (u > 0)).sum(axis=1) / either
             near = alike >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either)
-            p, q = some[p[near], 0], right.rows[q[near], 0]
+            p, q = p[near], q[near]
+            here = left.anchors[at + p]
+            first = here[np.arange(len(p)), (here == right.anchors[q]).argmax(axis=1)] == anchor
+            p, q = some[p[first], 0], right.rows[q[first], 0]
             yield np.maximum(p, q), np.minimum(p, q)
 
 
@@ -170,7 +175,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = partitions(spark)
+    n = partitions(docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +185,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("same", F.xxhash64("text"))
-    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(sketch, "doc_id long, same long, fp long, x long, y long, anchors binary, bins binary"), "sketches")
+    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(released(sketch), "doc_id long, same long, fp long, x long, y long, anchors binary, bins binary"), "sketches")
     points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors"), F.min("bins").alias("bins")), "points")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,21 +243,21 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             if large:
                 yield pa.RecordBatch.from_arrays([pa.array(points.rows[:, 0]), pa.nulls(len(points.rows), pa.int64()), pa.array(np.full(len(points.rows), anchor))], names=["a", "b", "anchor"])
                 return
-            for a, b in _across(points, points, similarity) if block else ((none, none),):
+            for a, b in _across(points, points, anchor, similarity) if block else ((none, none),):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "anchor"])
 
         for batch in batches:
             key = batch.column("anchor").to_numpy()
             if not len(key):
                 continue
-            rows, bins = _rest_rows(batch)
+            rows = _rest_rows(batch)
             start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
                 if key[s] != anchor:
                     yield from settle()
                     anchor, block, large = key[s], [], False
-                block.append((rows[s:e], bins[s:e]))
-                if sum(len(x) for x, _ in block) > hold:
+                block.append(tuple(x[s:e] for x in rows))
+                if sum(len(x[0]) for x in block) > hold:
                     large = True
                     yield from settle()
                     block = []
@@ -265,18 +270,18 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         def settle() -> Iterator[pa.RecordBatch]:
             if place is not None:
                 left, right = (_Points.of(sides.get(k, [])) for k in place[1:])
-                for a, b in _across(left, left if place[1] == place[2] else right, similarity):
+                for a, b in _across(left, left if place[1] == place[2] else right, place[0], similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in ("anchor", "low", "high", "own")], axis=1)
-            rows, bins = _rest_rows(batch)
+            rows = _rest_rows(batch)
             start = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, dtype=int)
             for s, e in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
                 if (at := tuple(keys[s, :3].tolist())) != place:
                     yield from settle()
                     place, sides = at, {}
-                sides.setdefault(int(keys[s, 3]), []).append((rows[s:e], bins[s:e]))
+                sides.setdefault(int(keys[s, 3]), []).append(tuple(x[s:e] for x in rows))
         yield from settle()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +307,9 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         bits = min(high, max(low, (16 * links.count()).bit_length()))
         wanted = membership(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))), bits)
         slotted = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("slot"))
-        sets = materialise(slotted.mapInArrow(shingles, "node long, shingles binary"), "shingles")
+        sets = materialise(slotted.mapInArrow(released(shingles), "node long, shingles binary"), "shingles")
         left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        verified = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+        verified = links.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(released(verify), "a long, b long")
         out = materialise(verified.select(F.col("a").alias("u"), F.col("b").alias("v")), "sure")
         discard(sets)
         return out
@@ -318,24 +323,24 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         return rows.sortWithinPartitions("anchor", "low", "high", "own").mapInArrow(propose_blocks, "a long, b long")
 
     def met(labelled: DataFrame) -> DataFrame:
-        return labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
+        return labelled.mapInArrow(released(replicate), "anchor long, node long, x long, y long, component long").repartition(n, "anchor").sortWithinPartitions("anchor", "node")
 
     wanted = np.zeros(0, dtype=np.uint64)
     fps = materialise(points.groupBy("fp").agg(F.min("node").alias("node")), "fps")
     ends = [fps.select(F.col("fp").alias(k), F.col("node").alias(to)) for k, to in (("a", "p"), ("b", "q"))]
     by_bits = edges(fps.select("fp"), BITS, hold).join(ends[0], "a").join(ends[1], "b").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
     by_bits = by_bits.unionByName(points.join(fps.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b"))
-    by_band = met(points.withColumn("component", F.col("node"))).mapInArrow(propose, "a long, b long")
+    by_band = met(points.withColumn("component", F.col("node"))).mapInArrow(released(propose), "a long, b long")
     nearest = materialise(by_bits.unionByName(by_band).where("a <> b").distinct(), "proposed")
     copies = of.join(points, ["same", "x", "y", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = copies.unionByName(sure(nearest))
     roots = components(found)
     labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", "bins", F.coalesce("root", "node").alias("component"))
-    at_bands = labelled.mapInArrow(replicate, "anchor long, node long, x long, y long, component long").select("anchor", "node", "component")
+    at_bands = labelled.mapInArrow(released(replicate), "anchor long, node long, x long, y long, component long").select("anchor", "node", "component")
     several = materialise(at_bands.groupBy("anchor").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("anchor"), "several")
-    about = labelled.select("node", "x", "y", "component", "bins")
+    about = labelled.select("node", "x", "y", "component", "bins", "anchors")
     some = at_bands.select("anchor", "node").join(several, "anchor", "left_semi").join(about, "node").repartition(n, "anchor").sortWithinPartitions("anchor")
-    left = materialise(some.mapInArrow(propose_rest, "a long, b long, anchor long"), "left")
+    left = materialise(some.mapInArrow(released(propose_rest), "a long, b long, anchor long"), "left")
     large, pairs = left.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("node")), left.where("anchor IS NULL").select("a", "b")
     if not large.isEmpty():
         pairs = pairs.unionByName(apart(large, about))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare
+from .common import mix, prepare, released
 from .tokens import bpe
 
 #: Documents that are packed together, on average; a task holds one such block.
@@ -90,7 +90,7 @@ def tokenised(docs: DataFrame, vocab: str, capacity: int, end: int, blocks: int,
             row += n
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(place.astype(np.int32))], names=["doc_id", "n_tokens", "crcs", "block"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>, block int")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, crcs array<long>, block int")
 
 
 def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 1024, end: int = 2, block: int = BLOCK, plain: bool = False) -> DataFrame:

@@ -167,7 +167,7 @@ def edges(points: DataFrame, threshold: int, hold: int) -> DataFrame:
                 fp = whole[at : at + step]
                 yield pa.RecordBatch.from_arrays([pa.array((fp[:, None] ^ masks[None, :]).ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64)), pa.array(np.tile(close, len(fp)))], names=["word", "fp", "close"])
 
-    n = partitions(spark)
+    n = partitions(points)
     met = points.mapInArrow(replicate, "anchor long, fp long").repartition(n, "anchor").sortWithinPartitions("anchor", "fp")
     found = materialise(met.mapInArrow(compare, "a long, b long, large boolean"), "links")
     direct = found.where("not large").select("a", "b")

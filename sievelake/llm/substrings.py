@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 6) -> DataFram
         raise ValueError("needs 1 <= seed <= window < 32")
     spark = docs.sparkSession
     prepare(spark)
-    n = partitions(spark)
+    n = partitions(docs)
     rows = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 24).alias("row"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

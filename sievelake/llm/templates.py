@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import column, grams, located_words, map_rows, materialise, mix, partitions, prepare, unused
+from .common import column, grams, located_words, map_rows, materialise, mix, partitions, prepare, released, unused
 
 #: Leading tokens of the tree, and tokens that a line needs at least.
 DEPTH, TOKENS = 3, 1
+#: Rows that a task sums before it sends them on.
+SUMMED = 50_000
 #: Leaves or lines that are sent to all tasks; more of them are joined instead.
 SENT = 1_000_000
 #: Min-hashes of a line's surroundings, a byte of each, and how many agree in copies: 25.6 are expected at a similarity of 0.8, 19 where shared lines make up three quarters.
@@ -99,10 +101,19 @@ def different(rows: np.ndarray, most: int, known: np.ndarray) -> np.ndarray:
 
 
 def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, apart: bool, leaves: np.ndarray | None, texts: bool) -> Iterator[pa.RecordBatch]:
-    """Documents by leaf and what tells them apart, summed within a batch; or by line, too, and each line's text once, of the leaves given, if any are."""
+    """Documents by leaf and what tells them apart, summed as far as memory is meant for it; or by line, too, and each line's text once, of the leaves given, if any are."""
     wanted = None if leaves is None else set(leaves.tolist())
+    total: Counter[tuple] = Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*total)) if total else [[]] * (4 if texts else 2)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary()) if texts else (pa.int64(), pa.int64())
+        names = ["leaf", "line", "masked", "around"] if texts else ["leaf", "around"]
+        docs = pa.array(list(total.values()), pa.int64())
+        total.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), docs], names=[*names, "docs"])
+
     for batch in batches:
-        total: Counter[tuple] = Counter()
         for t in batch.column("text"):
             text = t.as_py() or ""
             parsed = [(i, p) for i, line in enumerate(text.split("\n")) if (p := parse(line, depth, tokens)) and (wanted is None or p[0] in wanted)]
@@ -117,10 +128,9 @@ def _sums(batches: Iterator[pa.RecordBatch], depth: int, tokens: int, apart: boo
                 total.update({(*p, None) for _, p in parsed})
             else:
                 total.update({(p[0], xxhash.xxh64_intdigest(around[i]) - (1 << 63)) for i, p in parsed})
-        columns = list(zip(*total)) if total else [[]] * (4 if texts else 2)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary()) if texts else (pa.int64(), pa.int64())
-        names = ["leaf", "line", "masked", "around"] if texts else ["leaf", "around"]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(total.values()), pa.int64())], names=[*names, "docs"])
+            if len(total) >= SUMMED:
+                yield out()
+    yield out()
 
 
 class Leaf:
@@ -175,12 +185,12 @@ class Leaf:
 def recurring_lines(docs: DataFrame, min_docs: int, similar: float, depth: int = DEPTH, tokens: int = TOKENS, apart: bool = False) -> DataFrame:
     """line (hash of a masked line), template and n_docs of the lines of recurring templates of docs (text)."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs)
     texts = docs.select("text")
-    by_leaf = texts.mapInArrow(lambda b: _sums(b, depth, tokens, apart, None, False), "leaf long, around long, docs long")
+    by_leaf = texts.mapInArrow(released(lambda b: _sums(b, depth, tokens, apart, None, False)), "leaf long, around long, docs long")
     leaves = materialise(by_leaf.groupBy("leaf", "around").agg(F.sum("docs").alias("docs")).groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     few = np.sort(leaves.toArrow().column("leaf").to_numpy()) if leaves.count() <= SENT else None
-    lines = texts.mapInArrow(lambda b: _sums(b, depth, tokens, apart, few, True), "leaf long, line long, masked string, around binary, docs long")
+    lines = texts.mapInArrow(released(lambda b: _sums(b, depth, tokens, apart, few, True)), "leaf long, line long, masked string, around binary, docs long")
     if few is None:
         lines = lines.join(leaves, "leaf", "left_semi")
     summed = materialise(lines.groupBy("leaf", "line", "around").agg(F.max("masked").alias("masked"), F.sum("docs").alias("docs")), "lines")

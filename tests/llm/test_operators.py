@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.llm import chat, common, contamination, deobfuscate, embeddings, nearcopies, packing, quality, shards, simhash, substrings, templates, tokens, toxicity
+from sievelake.llm import chat, common, components, contamination, deobfuscate, embeddings, nearcopies, packing, quality, shards, simhash, substrings, templates, tokens, toxicity
 
 import public_tokenizers
 
@@ -57,6 +57,37 @@ def test_word_hashes_and_segments(monkeypatch):
     assert len(set(whole.tolist())) == 4 and len(common.word_hashes(b"")) == 0
 
 
+def test_written_frames_are_deleted_when_nothing_reads_them(spark):
+    import os
+
+    df = spark.range(5)
+    with common.swept(spark) as keep:
+        one, two = keep(common.materialise(df, "one")), common.materialise(df, "two", zstd=3)
+        there = lambda x: os.path.isdir(x._written.removeprefix("file://"))
+        assert there(one) and there(two) and two.count() == 5
+    assert there(one) and not there(two) and one.count() == 5
+    common.discard(one, df)
+    assert not there(one)
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert common.partitions(table) == common.partitions(spark.createDataFrame([(1,)], "a int")) == least
+    monkeypatch.setattr(common, "PARTITION", 1 << 10)
+    assert common.partitions(table) > 50
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (None, 3)]
+    want = brute_components([(i, i) for i in {x for p in pairs for x in p if x is not None}], lambda a, b, e={frozenset(p) for p in pairs}: frozenset((a, b)) in e)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert all(want[i] == r for i, r in got.items()) and all(i in got or want[i] == i for i in want)
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # tokens and packing
 
 
