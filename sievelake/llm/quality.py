@@ -12,7 +12,7 @@ The model is fitted on the driver, on a bounded sample of the labelled rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +66,34 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.flatnonzero(mark).astype(np.uint32)
 
 
+def pack(found: np.ndarray, bits: int = BITS) -> bytes:
+    """Indicators as numbers, or as a bitmap if that is shorter: never more than a byte and 2**bits bits."""
+    if 32 * len(found) < 1 << bits:
+        return b"n" + found.astype("<u4").tobytes()
+    mark = np.zeros(1 << bits, dtype=bool)
+    mark[found] = True
+    return b"b" + np.packbits(mark).tobytes()
+
+
+class Packed(Sequence):
+    """Rows of indicators, kept packed, so that a sample of long texts is bounded in bytes: unpacked when one is looked at."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        raw = self.rows[i]
+        if raw[:1] == b"n":
+            return np.frombuffer(raw, dtype="<u4", offset=1)
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8, offset=1))).astype(np.uint32)
+
+    def some(self, pick: np.ndarray) -> Packed:
+        return Packed([self.rows[i] for i in pick])
+
+
 @dataclass
 class Model:
     """weights of the indicators, bias of the margin, and the logistic curve of the margin."""
@@ -82,7 +110,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -40, 40))))
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
+def log_count_ratios(rows: Sequence[np.ndarray], y: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of the smoothed indicator counts p of class 1 and q of class 0."""
     p, q = np.full(1 << bits, smooth), np.full(1 << bits, smooth)
     for x, label in zip(rows, y):
@@ -90,28 +118,32 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, bits: int, smooth: f
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: Sequence[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Minimises |w|**2 / 2 + C * sum(hinge), one dual variable at a time; rows are unit vectors of scaled indicators.
 
     The bias is the weight of a constant feature. C is shared out so that both
     classes weigh the same.
     """
     sign = np.where(y > 0, 1.0, -1.0)
-    norm = np.array([max(1.0, len(x)) ** -0.5 for x in rows])
     share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y <= 0).sum())))
     w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[x] * n for x, n in zip(rows, norm)]
-    q = np.array([v @ v for v in values]) + 1.0
+    norm = np.zeros(len(rows))
+    q = np.ones(len(rows))
+    for i, x in enumerate(rows):
+        norm[i] = max(1.0, len(x)) ** -0.5
+        q[i] += (scale[x] ** 2).sum() * norm[i] ** 2
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order.tolist():
-            g = sign[i] * (w[rows[i]] @ values[i] + b) - 1
+            x = rows[i]
+            value = scale[x] * norm[i]
+            g = sign[i] * (w[x] @ value + b) - 1
             new = min(max(alpha[i] - g / q[i], 0.0), c * share[i])
             if step := new - alpha[i]:
                 alpha[i] = new
-                w[rows[i]] += step * sign[i] * values[i]
+                w[x] += step * sign[i] * value
                 b += step * sign[i]
                 moved = max(moved, abs(step))
         if moved < tolerance:
@@ -136,7 +168,7 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
+def fit(rows: Packed, y: np.ndarray, bits: int = BITS) -> Model:
     """Fits ratios, weights and curve; the curve's margins come from two folds, so they aren't those of rows just learned.
 
     With one class only, or no rows, every score is that class's share (a half without rows).
@@ -147,7 +179,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> Model:
         return Model(np.zeros(1 << bits, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
 
     def part(pick: np.ndarray) -> Model:
-        some = [rows[i] for i in pick]
+        some = rows.some(pick)
         ratio = log_count_ratios(some, y[pick], bits)
         w, b = dual_coordinate_descent(some, y[pick], ratio)
         return Model((w * ratio).astype(np.float32), b, 1.0, 0.0)
@@ -195,13 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: i
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()).tobytes() for t in batch.column("text")]
+            found = [pack(features(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("doc_id"), batch.column("y")], names=["found", "doc_id", "y"])
 
     rows = sample(docs, labels, label, learn, most).select("doc_id", "text", "y").mapInArrow(extract, "found binary, doc_id long, y int").toArrow()
-    found = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in rows.column("found")]
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    return fit([found[i] for i in order], rows.column("y").to_numpy()[order])
+    return fit(Packed([rows.column("found")[int(i)].as_py() for i in order]), rows.column("y").to_numpy()[order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, threshold: float = 0.3, most: int = MAX_TRAIN) -> DataFrame:
