@@ -18,8 +18,8 @@ few links. In the second every pair at a band that the first left in different
 components is compared by sketch, so neither a nearer candidate that failed nor the
 size of a band hides one. A second sketch, of BINS one-permutation min-hashes, which
 comes only to bands with several components, leaves out pairs whose similarity it puts
-DEVIATIONS standard deviations below the one asked for, and a pair counts at the first
-band that it shares only. Bands with more points than a task may hold are taken apart:
+DEVIATIONS standard deviations below the one asked for (bins hold a sample of both sets
+together, without replacement), and a pair counts at the first band that it shares only. Bands with more points than a task may hold are taken apart:
 blocks of points, and a task for each two blocks. Only the shingles of documents with a
 link are shuffled, not texts: a bitmap tells the scan which documents these are.
 """
@@ -52,13 +52,13 @@ FILTER_BITS = (20, 30)
 _FACTORS, _TERMS = mix(np.arange(1, MINS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(MINS + 1, 2 * MINS + 1, dtype=np.uint64))
 
 
-def sketches_of(text: str | None, shingle: int) -> tuple[int, int, int, bytes, bytes]:
-    """Of a text, its SimHash by all word shingles, repeats included, and the sketches of their set (the whole text is one, if it has fewer words)."""
+def sketches_of(text: str | None, shingle: int) -> tuple[int, int, int, bytes, bytes, int]:
+    """Of a text, its SimHash by all word shingles, repeats included, and the sketches and the size of their set (the whole text is one, if it has fewer words)."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
     found = grams(words, min(shingle, max(1, len(words))))
     own = np.unique((found >> np.uint64(32)).astype(np.uint32))
     x, y, anchors = sketch_of(own)
-    return int(np.uint64(majority([found])).view(np.int64)), x, y, anchors, bins_of(own)
+    return int(np.uint64(majority([found])).view(np.int64)), x, y, anchors, bins_of(own), len(own)
 
 
 def bins_of(shingles: np.ndarray) -> np.ndarray:
@@ -124,19 +124,19 @@ def _nearest(points: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Points:
-    """Points of a band: rows of node, sketch (two longs) and component, their bins, and the anchors of all their bands."""
+    """Points of a band: rows of node, sketch (two longs), component and size, their bins, and the anchors of all their bands."""
 
     def __init__(self, rows: np.ndarray, bins: np.ndarray, anchors: np.ndarray) -> None:
         self.rows, self.bins, self.anchors = rows, bins, anchors
 
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, ...]]) -> _Points:
-        none = (np.zeros((0, 4), dtype=np.int64), np.zeros((0, BINS), dtype=np.uint8), np.zeros((0, MINS // BAND), dtype=np.int64))
+        none = (np.zeros((0, 5), dtype=np.int64), np.zeros((0, BINS), dtype=np.uint8), np.zeros((0, MINS // BAND), dtype=np.int64))
         return cls(*(np.concatenate(x) for x in zip(none, *parts)))
 
 
 def _rest_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component")], axis=1)
+    rows = np.stack([batch.column(k).to_numpy() for k in ("node", "x", "y", "component", "size")], axis=1)
     bins, anchors = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=t).reshape(len(rows), -1) for k, t in (("bins", np.uint8), ("anchors", np.int64)))
     return rows, bins, anchors
 
@@ -157,7 +157,8 @@ def _across(left: _Points, right: _Points, anchor: int, similarity: float) -> It
             u, v = left.bins[at + p], right.bins[q]
             either = np.maximum(1, ((u | v) > 0).sum(axis=1))
             alike = ((u == v) & (u > 0)).sum(axis=1) / either
-            near = alike >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either)
+            both = np.maximum(either, (some[p, 4] + right.rows[q, 4]) / (1 + similarity))
+            near = alike >= similarity - DEVIATIONS * np.sqrt(similarity * (1 - similarity) / either * (1 - (either - 1) / both))
             p, q = p[near], q[near]
             here = left.anchors[at + p]
             first = here[np.arange(len(p)), (here == right.anchors[q]).argmax(axis=1)] == anchor
@@ -180,13 +181,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketches_of(t.as_py(), shingle) for t in batch.column("text")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), *(pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 5, kinds))], names=["doc_id", "same", "fp", "x", "y", "anchors", "bins"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("same"), *(pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 6, kinds))], names=["doc_id", "same", "fp", "x", "y", "anchors", "bins", "size"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("same", F.xxhash64("text"))
-    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(released(sketch), "doc_id long, same long, fp long, x long, y long, anchors binary, bins binary"), "sketches")
-    points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors"), F.min("bins").alias("bins")), "points")
+    of = materialise(keyed.select("doc_id", "same", "text").mapInArrow(released(sketch), "doc_id long, same long, fp long, x long, y long, anchors binary, bins binary, size long"), "sketches")
+    points = materialise(of.groupBy("same", "x", "y", "fp").agg(F.min("doc_id").alias("node"), F.min("anchors").alias("anchors"), F.min("bins").alias("bins"), F.min("size").alias("size")), "points")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "x", "y", "component"]
@@ -335,10 +336,10 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     copies = of.join(points, ["same", "x", "y", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = copies.unionByName(sure(nearest))
     roots = components(found)
-    labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", "bins", F.coalesce("root", "node").alias("component"))
+    labelled = points.join(roots, "node", "left").select("node", "x", "y", "anchors", "bins", "size", F.coalesce("root", "node").alias("component"))
     at_bands = labelled.mapInArrow(released(replicate), "anchor long, node long, x long, y long, component long").select("anchor", "node", "component")
     several = materialise(at_bands.groupBy("anchor").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("anchor"), "several")
-    about = labelled.select("node", "x", "y", "component", "bins", "anchors")
+    about = labelled.select("node", "x", "y", "component", "bins", "anchors", "size")
     some = at_bands.select("anchor", "node").join(several, "anchor", "left_semi").join(about, "node").repartition(n, "anchor").sortWithinPartitions("anchor")
     left = materialise(some.mapInArrow(released(propose_rest), "a long, b long, anchor long"), "left")
     large, pairs = left.where("anchor IS NOT NULL").select("anchor", F.col("a").alias("node")), left.where("anchor IS NULL").select("a", "b")
