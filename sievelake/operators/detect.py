@@ -73,8 +73,13 @@ def with_findings(docs: DataFrame, options: Options = Options(), ml: DataFrame |
 
 
 def exploded(docs: DataFrame, found: Column | str = "found", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row a finding: doc_id, seq (its place in the array), the columns in keep, and the finding's own."""
-    return docs.select("doc_id", *keep, F.posexplode(found).alias("seq", "_x")).select("doc_id", *keep, "seq", "_x.*")
+    """A row a finding: doc_id, seq (its place in the array), the columns in keep, and the finding's own.
+
+    By the outer form, whose rows without a finding are dropped: of the inner one
+    Spark infers that the array isn't empty, and works it out two more times to see.
+    """
+    rows = docs.select("doc_id", *keep, F.posexplode_outer(found).alias("seq", "_x")).where("seq IS NOT NULL")
+    return rows.select("doc_id", *keep, "seq", "_x.*")
 
 
 def detect(docs: DataFrame, options: Options = Options(), ml: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
