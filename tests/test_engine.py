@@ -91,6 +91,13 @@ def test_nothing_is_shuffled(docs):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_pattern_runs_once_a_text(docs):
+    options = Options(categories=("EMAIL",), use_contextual=False)
+    counted = validate(detect(docs, options)).groupBy("entity_group").count()
+    for df in (counted, redact_texts(docs, options)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1
+
+
 def test_every_pattern_that_is_rewritten_finds_the_same(spark):
     """Random texts of the signs that repetitions and boundaries turn on, against the patterns as they are."""
     import random
