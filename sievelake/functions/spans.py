@@ -44,7 +44,7 @@ def in_slices(values: Column, total: Callable[[Column], Column], use: Callable[[
         at = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / SLICE).cast("int") - 1, F.lit(0)))
         part = lambda i: F.slice(x, i * SLICE + 1, F.lit(SLICE))
         sums = F.aggregate(F.transform(at, lambda i: total(part(i))), F.array(start), lambda acc, y: F.concat(acc, F.array(add(F.element_at(acc, -1), y))))
-        return let(sums, lambda s: F.flatten(F.transform(at, lambda i: use(part(i), F.get(s, i), F.get(s, i + 1)))))
+        return let(sums, lambda s: F.flatten(F.transform(at, lambda i: let(part(i), lambda some: use(some, F.get(s, i), F.get(s, i + 1))))))
 
     return let(values, sliced)
 
@@ -77,11 +77,8 @@ def _placed(parts: Column) -> Column:
 
     def placed(some: Column, base: Column, _: Column | None = None) -> Column:
         def one(lengths: Column) -> Column:
-            def at(i: Column) -> Column:
-                start = F.aggregate(F.slice(lengths, F.lit(1), i), base, lambda acc, x: acc + x)
-                return let(start, lambda s: F.struct(s.alias("start"), (s + F.get(lengths, i)).alias("end"), F.get(some, i).alias("word")))
-
-            return F.transform(F.sequence(F.lit(1), F.size(lengths) - 1, F.lit(2)), at)
+            starts = F.transform(F.sequence(F.lit(1), F.size(lengths) - 1, F.lit(2)), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), base, lambda acc, x: acc + x))
+            return F.transform(starts, lambda s, k: F.struct(s.alias("start"), (s + F.get(lengths, 2 * k + 1)).alias("end"), F.get(some, 2 * k + 1).alias("word")))
 
         none = empty("struct<start: int, end: int, word: string>")
         return F.when(F.size(some) > 1, let(F.transform(some, F.length), one)).otherwise(none)
@@ -107,7 +104,7 @@ def _needs(p: Pattern) -> tuple[str, ...]:
 def matches(text: Column, low: Column, digit: Column, p: Pattern) -> Column:
     """Start, end and word of what a pattern finds in a text without marks; null if that is nothing. low is the text in small letters, digit whether it has one."""
     regex, marked = (_two_groups(steady(p.regex)), f"$1{_MARK}$2{_MARK}") if p.group else (steady(p.regex), f"{_MARK}$0{_MARK}")
-    found = let(F.regexp_replace(text, F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), _placed(F.split(x, _MARK, -1))))
+    found = let(F.regexp_replace(text, F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), let(F.split(x, _MARK, -1), _placed)))
     needed = [digit if x == "0" else F.contains(low, F.lit(x)) for x in _needs(p)]
     some = None
     for x in needed:
