@@ -62,7 +62,7 @@ def steady(regex: str) -> str:
     return regex
 
 
-def _two_groups(regex: str) -> str:
+def two_groups(regex: str) -> str:
     """A pattern whose first group is the end of its match, with a group for what comes before, too."""
     at, inside = 0, False
     while not (regex[at] == "(" and not inside and regex[at + 1] != "?"):
@@ -102,9 +102,9 @@ def _needs(p: Pattern) -> tuple[str, ...]:
 
 
 def matches(text: Column, low: Column, digit: Column, p: Pattern) -> Column:
-    """Start, end and word of what a pattern finds in a text without marks; null if that is nothing. low is the text in small letters, digit whether it has one."""
-    regex, marked = (_two_groups(steady(p.regex)), f"$1{_MARK}$2{_MARK}") if p.group else (steady(p.regex), f"{_MARK}$0{_MARK}")
-    found = let(F.regexp_replace(text, F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), let(F.split(x, _MARK, -1), _placed)))
+    """What lies between the findings of a pattern and these in turn, in a text without marks; null if there are none. low is the text in small letters, digit whether it has one."""
+    regex, marked = (two_groups(steady(p.regex)), f"$1{_MARK}$2{_MARK}") if p.group else (steady(p.regex), f"{_MARK}$0{_MARK}")
+    found = let(F.regexp_replace(text, F.lit(regex), F.lit(marked)), lambda x: F.when(F.contains(x, F.lit(_MARK)), F.split(x, _MARK, -1)))
     needed = [digit if x == "0" else F.contains(low, F.lit(x)) for x in _needs(p)]
     some = None
     for x in needed:
@@ -129,7 +129,7 @@ def findings(text: Column, patterns: list[Pattern]) -> Column:
         return F.coalesce(F.transform(found, one), empty(FINDING))
 
     def by_key(plain: Column, low: Column, digit: Column) -> Column:
-        every = F.array(*(matches(plain, low, digit, at[key][0]) for key in keys))
+        every = F.transform(F.array(*(matches(plain, low, digit, at[key][0]) for key in keys)), lambda parts: F.when(parts.isNotNull(), _placed(parts)))
         return let(every, lambda m: F.concat(*(labelled(p, F.get(m, F.lit(keys.index((p.regex, p.group))))) for p in patterns)))
 
     unmarked = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _OTHER)).otherwise(text)

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.catalog import Pattern, detectors, labelled, names
+from ..functions.columns import NOT_PLAIN, finder, of_catalog
 from ..functions.spans import FINDING, empty, findings
 
 
@@ -41,15 +43,19 @@ def patterns(options: Options) -> list[Pattern]:
     return out
 
 
-def spread(docs: DataFrame) -> DataFrame:
+def spread(docs: DataFrame, part: int | None = None) -> DataFrame:
     """docs, dealt out evenly if their plan has fewer partitions than there are cores; large inputs are left as they are.
 
+    With part, there is a partition for so many bytes of their files, too.
+
     Asking for the partitions plans the frame; if it has shuffles of its own, they run.
     """
     if docs.isStreaming:
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(2 * cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+    now = docs._jdf.queryExecution().toRdd().getNumPartitions()
+    wanted = 0 if part is None else -(-int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // part)
+    return docs.repartition(max(2 * cores, wanted)) if now < max(cores, wanted) else docs
 
 
 def model_findings(ml: DataFrame) -> DataFrame:
@@ -92,6 +98,33 @@ def detect(docs: DataFrame, options: Options = Options(), ml: DataFrame | None =
     return exploded(with_findings(docs, options, ml), keep=keep)
 
 
+def detect_columns(docs: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of detect, without those of models, looked for in whole columns of texts: for many patterns at once.
+
+    Texts that aren't plain (see columns) are looked through as detect does, in the same
+    scan. So are all texts if some pattern isn't the catalog's. Nothing is shuffled.
+    """
+    wanted = patterns(options)
+    if not wanted or not of_catalog(wanted):
+        return detect(docs, options, keep=keep)
+    text, plain, kept = F.col("text"), ~F.rlike("text", F.lit(NOT_PLAIN)), ("doc_id", *keep)
+    parted = docs.select(*kept, F.when(plain, text).alias("text"), F.when(~plain, findings(text, wanted)).alias("found"))
+    find = finder(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from find(batch)
+
+    kinds = [*(parted.schema[x].dataType for x in kept), IntegerType(), IntegerType(), StringType(), IntegerType(), IntegerType()]
+    places = [F.col(f"_{i}") for i in range(len(kinds))]
+    which, seq, word, start, end = places[len(kept) :]
+    of_pattern = lambda values: F.get(F.array(*map(F.lit, values)), which)
+    return parted.mapInArrow(run, StructType([StructField(f"_{i}", kind) for i, kind in enumerate(kinds)])).select(
+        *(x.alias(name) for x, name in zip(places, kept)), seq.alias("seq"), of_pattern([p.category for p in wanted]).alias("entity_group"), word.alias("word"),
+        start.alias("start"), end.alias("end"), of_pattern([p.score for p in wanted]).alias("score"), of_pattern([p.method for p in wanted]).alias("method"),
+    )
+
+
 def detect_arrow(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """The same findings by Python's regular expressions over Arrow batches: another engine to hold detect against.
 

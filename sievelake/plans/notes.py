@@ -98,9 +98,9 @@ def short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SHORT.replace("FROM orders", "FROM {orders}"), orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet")))
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, priority."""
-    tables = {"orders": spread(spark.read.parquet(f"{sf_dir}/orders.parquet")), "customer": spark.read.parquet(f"{sf_dir}/customer.parquet")}
+def notes(spark: SparkSession, sf_dir: str, part: int | None = None) -> DataFrame:
+    """doc_id, text, priority; in a partition for so many bytes of orders, if part is given."""
+    tables = {"orders": spread(spark.read.parquet(f"{sf_dir}/orders.parquet"), part), "customer": spark.read.parquet(f"{sf_dir}/customer.parquet")}
     return spark.sql(NOTES.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), **tables)
 
 

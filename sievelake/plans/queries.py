@@ -12,7 +12,7 @@ from ..functions.catalog import catalog, described, detectors, names
 from ..functions.spans import findings
 from ..operators import evaluate as ev
 from ..operators import summarize as sm
-from ..operators.detect import Options, detect, detect_arrow, exploded, spread
+from ..operators.detect import Options, detect, detect_arrow, detect_columns, exploded, spread
 from ..operators.merge import merge
 from ..operators.redact import redact, redact_texts
 from ..operators.tagger import join_tokens, normalise
@@ -61,6 +61,11 @@ def _in_notes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return detect(notes(spark, sf_dir), Options(**({"categories": IN_NOTES} | options)))
 
 
+def _all_in_notes(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Findings of all categories: more than a hundred a note, so a task has few notes, and its words fit into memory."""
+    return detect_columns(notes(spark, sf_dir, 1 << 20), Options(**options), keep)
+
+
 def catalog_overview(spark, sf_dir):
     return catalog(spark).select("ord", "category", "regex", F.size("examples").cast("long").alias("n_examples"), F.array_join("examples", ", ").alias("examples"))
 
@@ -148,7 +153,7 @@ def corpus_rollup(spark, sf_dir):
 
 
 def rollup_all_categories(spark, sf_dir):
-    return sm.corpus_rollup(validate(detect(notes(spark, sf_dir), keep=("priority",))), "priority")
+    return sm.corpus_rollup(validate(_all_in_notes(spark, sf_dir, ("priority",))), "priority")
 
 
 def group_display(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievelake.functions.catalog import CATEGORIES, FORMS, catalog, detectors, labelled, load_forms
 from sievelake.operators import evaluate as ev
 from sievelake.operators import summarize as sm
-from sievelake.operators.detect import Options, detect, detect_arrow
+from sievelake.operators.detect import Options, detect, detect_arrow, detect_columns, spread
 from sievelake.operators.merge import merge
 from sievelake.operators.redact import redact, redact_texts
 from sievelake.operators.tagger import first_that_loads, join_tokens, normalise, run_tagger
@@ -110,6 +110,59 @@ def test_every_pattern_that_is_rewritten_finds_the_same(spark):
         assert rows(detect(docs, options)) == [x for x in rows(detect_arrow(docs, options))]
 
 
+PARTS = ["Ab", "abc", "X", "a1", " ", "  ", "\n", "\r", "\t", "_", ".", "Name", "name:", "CITY", " : ", "card number", "pan  number", "M", "Female", "12", "123456", "9876543210", "+91-", "1234 5678 9012", " 3456"]
+PARTS += ["ABCPD1234K", "HDFC0001234", "MH-14-2011-0062821", "K1234567", "15/08/2024", "14:30", "f47ac10b-58cc-4372-a567-0e02b2c3d479", "Road", "Park", "a@b.c-d", "-", "\\", "\\d", "\\s", "aged", "address: "]
+
+
+@pytest.mark.parametrize("variant", ["library", "service", "strict"])
+def test_whole_columns_hold_the_same_findings(spark, monkeypatch, variant):
+    """Random texts, half of them with signs that the engines take differently; null and repeated ids; parts and batches of a few texts and words."""
+    import random
+
+    from sievelake.functions import columns
+
+    monkeypatch.setattr(columns, "PART", 300)
+    monkeypatch.setattr(columns, "WORDS", 200)
+    rng = random.Random(8)
+    odd = ["é", "\x0b", "\x00", "\x01", "\x1c", "\u212a", "\u017f", "\u0301", "\xa0", "\uffff"]
+    some = [(i % 150, "".join(rng.choice(PARTS + odd * (i % 2)) for _ in range(rng.randrange(30))), f"k{i}") for i in range(200)]
+    some += [(None, None, "n"), (None, "", None), (None, "Anna Bell", None), (None, "Anna é Bell", "é"), (7, "Anna Bell 12 " * 100, "long")]
+    docs = spark.createDataFrame(some, "doc_id long, text string, `a.b` string").withColumnRenamed("a.b", "kept")
+    for profile in ("intended", "as_written"):
+        options = Options(variant=variant, profile=profile, use_names=True)
+        want, got = detect(docs, options, keep=("kept",)), detect_columns(docs, options, ("kept",))
+        assert got.dtypes == want.dtypes and rows(got) == rows(want)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_columns_without_texts_or_patterns(spark, docs):
+    assert detect_columns(docs.where("doc_id > 3 AND doc_id < 6")).count() == detect_columns(docs.where("false")).count() == 0
+    assert detect_columns(docs, Options(categories=())).count() == 0
+
+
+def test_other_patterns_are_not_looked_for_in_whole_columns():
+    from sievelake.functions.columns import of_catalog
+    from sievelake.operators.detect import patterns
+
+    assert of_catalog(patterns(Options(use_names=True))) and not of_catalog(detectors(forms={"NEW": "^n$"}))
+
+
+def test_spread_by_bytes(spark, tmp_path):
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert spread(table, size // 20).rdd.getNumPartitions() in (20, 21) and spread(table, 10 * size).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_rollup_makes_no_rows_of_findings(spark):
+    """Rows are made for subtotals of counts; categories and groups that are null stay apart from subtotals."""
+    judged = spark.createDataFrame([("a", "X"), ("a", "X"), ("a", None), (None, "X")], "by string, entity_group string")
+    rolled = sm.corpus_rollup(judged, "by")
+    assert rows(rolled) == sorted([("a", "X", 2), ("a", None, 1), (None, "X", 1), ("a", None, 3), (None, None, 1), (None, None, 4)], key=str)
+    plan = rolled._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Expand")
+
+
 def test_spans_are_code_points(docs):
     found = detect(docs, Options()).join(docs, "doc_id")
     assert found.where(F.expr("substring(text, start + 1, end - start)") != F.col("word")).isEmpty()
