@@ -104,7 +104,7 @@ def detect_as_written(spark, sf_dir):
 
 
 def union_methods(spark, sf_dir):
-    return _digest(_in_notes(spark, sf_dir, variant="service", use_names=True, categories=None), "method")
+    return _digest(_all_in_notes(spark, sf_dir, variant="service", use_names=True), "method")
 
 
 def _judged(found: DataFrame) -> DataFrame:
