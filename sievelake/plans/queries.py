@@ -277,7 +277,7 @@ def merge_confident(spark, sf_dir):
 
 
 def validate_batch(spark, sf_dir):
-    return _digest(drop_invalid(_in_notes(spark, sf_dir, variant="service", categories=None)), "entity_group")
+    return _digest(drop_invalid(_all_in_notes(spark, sf_dir, variant="service")), "entity_group")
 
 
 def validate_cross_notes(spark, sf_dir):

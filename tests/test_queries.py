@@ -36,7 +36,7 @@ def test_query_against_sql(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns) and values(got) == values(want)
 
 
-@pytest.mark.parametrize("name", ["rollup_all_categories", "union_methods"])
+@pytest.mark.parametrize("name", ["rollup_all_categories", "union_methods", "validate_batch"])
 def test_all_categories_are_looked_for_in_whole_columns(spark, name):
     plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
